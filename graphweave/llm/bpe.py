@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import shuffle_partitions, written
+from graphweave.llm.common import shuffle_partitions, written_buckets
 
 #: Bytes of text that are cut into one block; the most that one group of the reassembly holds.
 BLOCK_BYTES = 8 << 20
@@ -74,6 +74,13 @@ def _heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Small pieces of Arrow batches, so that a worker holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _pack(lengths: list[int] | np.ndarray, body: bytes) -> bytes:
     return zstandard.compress(np.uint32(len(lengths)).tobytes() + np.asarray(lengths, np.uint32).tobytes() + body, 3)
 
@@ -118,12 +125,17 @@ def _split_blocks(pattern: str, ranks_cast, buckets: int, block_bytes: int):
             words = [w.encode("utf-8", "surrogatepass") for w in own]
             home = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             order = np.array(sorted(range(len(words)), key=lambda i: (home[i], words[i])), np.int64)
-            place = np.empty(len(words), np.int64)
+            place = np.empty(len(words), np.int32)
             place[order] = np.arange(len(words))
-            flat = np.concatenate(places) if places else np.empty(0, np.int64)
+            flat = np.concatenate(places)
             late = flat >= first
             flat[late] = place[flat[late] - first] + first
-            rows = [(name, -1, _pack(counts, _planes(flat)), ids)]
+            # The most frequent first: small numbers whose upper bytes are mostly 0.
+            kinds, at, often = np.unique(flat, return_inverse=True, return_counts=True)
+            order_of = np.argsort(-often, kind="stable")
+            rank = np.empty(len(kinds), np.int32)
+            rank[order_of] = np.arange(len(kinds))
+            rows = [(name, -1, _pack([len(kinds), *counts], _planes(np.concatenate([kinds[order_of], rank[at]]))), ids)]
             ends = np.searchsorted(home[order], np.arange(buckets + 1))
             for b in np.unique(home):
                 mine = [words[i] for i in order[ends[b] : ends[b + 1]]]
@@ -133,10 +145,10 @@ def _split_blocks(pattern: str, ranks_cast, buckets: int, block_bytes: int):
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.int64()))], ["block", "bucket", "data", "ids"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 found = cut.findall(text or "")
-                line = np.empty(len(found), np.int64)
+                line = np.empty(len(found), np.int32)
                 for i, w in enumerate(found):
                     rank = single.get(w)
                     line[i] = rank if rank is not None else first + own.setdefault(w, len(own))
@@ -173,7 +185,7 @@ def _encode_buckets(ranks_cast):
                     found.append(ids)
                     start = end
                 out.append(_pack([len(x) // 4 for x in found], _planes(np.frombuffer(b"".join(found), "<u4"))))
-            yield pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "data": out, "ids": None})
+            yield pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "data": out})
 
     return run
 
@@ -186,17 +198,16 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 def _reassemble(first: int):
-    def run(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(group.column("bucket").to_pylist(), group.column("data").to_pylist(), group.column("ids").to_pylist()), key=lambda r: r[0])
-        counts, body = _unpack(rows[0][1])
-        flat, docs = _unplanes(body).astype(np.int64), rows[0][2]
-        parts = [_unpack(data) for _, data, _ in rows[1:]]
+    def run(sequences: pa.Table, words: pa.Table) -> pa.Table:
+        (counts, body), docs = _unpack(sequences.column("data")[0].as_py()), sequences.column("ids")[0].as_py()
+        numbers, edges = _unplanes(body), np.cumsum(np.append(0, counts[1:].astype(np.int64)))
+        flat = numbers[: counts[0]][numbers[counts[0] :]].astype(np.int64)
+        parts = [_unpack(data) for _, data in sorted(zip(words.column("bucket").to_pylist(), words.column("data").to_pylist()))]
         lengths = np.concatenate([np.ones(first, np.int64), *[n.astype(np.int64) for n, _ in parts]])
         values = np.concatenate([np.arange(first, dtype="<u4"), *[_unplanes(ids) for _, ids in parts]])
         starts = np.cumsum(lengths) - lengths
         long = lengths[flat]
         ids = gather(values, starts[flat], long)
-        edges = np.cumsum(np.append(0, counts.astype(np.int64)))
         token_ends = np.cumsum(np.append(0, long))[edges]
         raw = ids.astype("<u4").tobytes()
         out = [raw[4 * a : 4 * b] for a, b in zip(token_ends[:-1].tolist(), token_ends[1:].tolist())]
@@ -223,10 +234,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None =
     cast, first = spark.sparkContext.broadcast(ranks), max(ranks.values()) + 1
     schema = "block long, bucket int, data binary, ids array<long>"
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    blocks = written(slim.mapInArrow(_split_blocks(pattern, cast, buckets, block_bytes), schema), "blocks")
+    # Bucketed by block, so that the sequences, the bulk of it, are joined where they lie.
+    blocks = written_buckets(slim.mapInArrow(_split_blocks(pattern, cast, buckets, block_bytes), schema), "blocks", n, "block")
     words = blocks.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket")
-    back = words.mapInPandas(_encode_buckets(cast), schema)
-    return blocks.where("bucket < 0").union(back).groupBy("block").applyInArrow(_reassemble(first), "doc_id long, n_tokens long, ids binary")
+    back = words.mapInPandas(_encode_buckets(cast), "block long, bucket int, data binary")
+    joined = blocks.where("bucket < 0").groupBy("block").cogroup(back.groupBy("block"))
+    return joined.applyInArrow(_reassemble(first), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -243,7 +256,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             table[rank] = token
         lengths = np.array([len(t) for t in table], np.int64)
         values, starts = np.frombuffer(b"".join(table), np.uint8), np.cumsum(lengths) - lengths
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for raw in batch.column("ids").to_pylist():
                 ids = np.frombuffer(raw, "<u4")

@@ -40,6 +40,14 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_buckets(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """As ``written``, in hash buckets of ``key``: joining or grouping by it later needs no shuffle of these rows."""
+    table = f"graphweave_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{table}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -83,7 +91,7 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         bound = written(small.where(F.col("a") != F.col("b")).distinct(), "edges")
         state = bound.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
-        if state == seen:
+        if state == seen or not state[0]:
             break
         seen = state
     else:
