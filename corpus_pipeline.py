@@ -30,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, none to three times. Rows that share doc_id and source share its copies evenly."""
-    takes = mixing.mix(docs).groupBy("doc_id", "source").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_gw_times")).where("_gw_times > 0")
+    takes = mixing.mix(docs).groupBy("doc_id", "source").agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("_gw_times")).where("_gw_times > 0")
     takes = takes.select(F.col("doc_id").alias("_gw_id"), F.col("source").alias("_gw_source"), "_gw_times")
     joined = docs.join(takes, docs["doc_id"].eqNullSafe(takes["_gw_id"]) & docs["source"].eqNullSafe(takes["_gw_source"]))
     return joined.withColumn("_gw_copy", F.explode(F.sequence(F.lit(1), F.col("_gw_times")))).select(*docs.columns)

@@ -58,11 +58,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     earlier = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     bases = targets.select(F.col("source").alias("s"), "source_size", "target", F.coalesce(F.sum("source_size").over(earlier), F.lit(0)).alias("base"))
     queued = summed.join(bases, summed["source"].eqNullSafe(bases["s"])).drop("s", "last").withColumn("upto", F.col("upto") - F.col("base"))
-    rounds = F.least(F.lit(most), F.ceil(F.col("target") / F.col("source_size"))).cast("int")
+    rounds = F.least(F.lit(most), F.coalesce(F.ceil(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(1))).cast("int")
     some = queued.where(F.col("size") > 0).withColumn("round", F.explode(F.sequence(F.lit(0), F.greatest(rounds, F.lit(1)) - 1)))
     copies = some.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     finish = F.col("round") * F.col("source_size") + F.col("upto") - (F.col("rows") - F.col("copy")) * F.col("size")
-    copies = copies.withColumn("virtual", (finish - F.col("size") / 2) / F.col("target"))
+    copies = copies.withColumn("virtual", F.try_divide(finish - F.col("size") / 2, F.col("target")))
     copies = copies.select("source", "doc_id", "size", "copy", "round", "virtual")
     total = running_sum(copies, ["virtual", "source", "doc_id", "size", "copy", "round"], "size", "total")
     budget = targets.agg(F.sum("target").alias("budget"))

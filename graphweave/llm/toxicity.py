@@ -91,22 +91,23 @@ def fit_chain(labelled: DataFrame, categories: list[str], most: int = SAMPLE_DOC
     rows = sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)))
     data = rows.mapInPandas(run, f"doc_id {labelled.schema['doc_id'].dataType.simpleString()}, {kinds}, fold long, at array<int>").toPandas()
     data = data.sort_values(["doc_id", "fold"], kind="stable")
-    x = np.zeros((len(data), len(words)), np.float32)
+    # One matrix for all models: words, then a column for each earlier category's probability.
+    x = np.zeros((len(data), len(words) + len(categories)), np.float32)
     for r, at in enumerate(data["at"]):
         x[r, np.asarray(at, int)] = 1
-    fold, chain, before = data["fold"].to_numpy(), Chain(list(categories), words), np.zeros((len(data), 0))
-    for c in categories:
-        y, inputs = data[c].to_numpy(float), np.hstack([x, before.astype(np.float32)])
+    fold, chain = data["fold"].to_numpy(), Chain(list(categories), words)
+    for number, c in enumerate(categories):
+        y, inputs = data[c].to_numpy(float), x[:, : len(words) + number]
         held = np.full(len(y), y.mean() if len(y) else 0.0)
         for k in range(FOLDS):
             rest, mine = fold != k, fold == k
             if mine.any() and rest.any() and c != categories[-1]:
-                w, b = fit_logistic(inputs[rest], y[rest])
-                held[mine] = sigmoid(inputs[mine] @ w + b)
+                w, b = fit_logistic(inputs, y, counted=rest)
+                held[mine] = sigmoid(inputs[mine] @ w.astype(np.float32) + b)
         w, b = fit_logistic(inputs, y) if len(y) else (np.zeros(inputs.shape[1]), -30.0)
         chain.weights.append(w)
         chain.biases.append(float(b))
-        before = np.hstack([before, held[:, None]])
+        x[:, len(words) + number] = held
     return chain
 
 
