@@ -1,4 +1,8 @@
 """Registered graph queries and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from graphweave.plans import findings, graph
+
+QUERIES = graph.QUERIES | findings.QUERIES
+SQL = graph.SQL | findings.SQL
