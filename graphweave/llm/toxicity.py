@@ -52,11 +52,22 @@ def choose_words(sample: DataFrame, categories: list[str], most: int = FEATURE_W
     Counted over the sample's whole texts, summed by word before the best are taken.
     """
 
+    def frame(held: dict[str, list[int]]) -> pd.DataFrame:
+        rows = pd.DataFrame.from_dict(held, orient="index", columns=[*categories, "n"])
+        return rows.rename_axis("word").reset_index()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[int]] = {}
         for pdf in batches:
-            found = [(w, *labels) for text, *labels in pdf.itertuples(index=False) for w in words_of(text)]
-            rows = pd.DataFrame(found, columns=["word", *categories])
-            yield rows.assign(n=1).groupby("word", as_index=False).sum()
+            for text, *labels in pdf.itertuples(index=False):
+                add = [*labels, 1]
+                for w in words_of(text):
+                    held[w] = [a + b for a, b in zip(held[w], add)] if w in held else add
+                if len(held) > 50_000:
+                    yield frame(held)
+                    held = {}
+        if held:
+            yield frame(held)
 
     kinds = ", ".join(f"`{c}` long" for c in categories)
     counts = sample.select("text", *categories).mapInPandas(run, f"word string, {kinds}, n long")
