@@ -29,8 +29,13 @@ class Quantiser:
     def flat(self) -> np.ndarray:
         return self.books.reshape(-1, self.books.shape[2])
 
-    def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and squared norms of the sums. Book by book the ``beam`` best partial sums are kept."""
+    def encode(self, x: np.ndarray, beam: int = BEAM, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and squared norms of the sums, some ``rows`` at a time to bound memory."""
+        parts = [self._encode(x[at : at + rows], beam) for at in range(0, max(len(x), 1), rows)]
+        return np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _encode(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Book by book the ``beam`` best partial sums are kept."""
         m, k, _ = self.books.shape
         flat = self.flat
         gram, dots = flat @ flat.T, x @ flat.T
