@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import shuffle_partitions, written_buckets
+from graphweave.llm.common import shuffle_partitions, slices, written_buckets
 
 #: Bytes of text that are cut into one block; the most that one group of the reassembly holds.
 BLOCK_BYTES = 8 << 20
@@ -74,13 +74,6 @@ def _heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Small pieces of Arrow batches, so that a worker holds few texts as Python objects at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _pack(lengths: list[int] | np.ndarray, body: bytes) -> bytes:
     return zstandard.compress(np.uint32(len(lengths)).tobytes() + np.asarray(lengths, np.uint32).tobytes() + body, 3)
 
@@ -145,7 +138,7 @@ def _split_blocks(pattern: str, ranks_cast, buckets: int, block_bytes: int):
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.int64()))], ["block", "bucket", "data", "ids"])
 
-        for batch in _slices(batches):
+        for batch in slices(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 found = cut.findall(text or "")
                 line = np.empty(len(found), np.int32)
@@ -256,7 +249,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             table[rank] = token
         lengths = np.array([len(t) for t in table], np.int64)
         values, starts = np.frombuffer(b"".join(table), np.uint8), np.cumsum(lengths) - lengths
-        for batch in _slices(batches):
+        for batch in slices(batches):
             out = []
             for raw in batch.column("ids").to_pylist():
                 ids = np.frombuffer(raw, "<u4")

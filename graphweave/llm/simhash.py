@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import connected, shuffle_partitions, written
+from graphweave.llm.common import connected, shuffle_partitions, slices, written
 
 RADIUS = 3
 SEED = 42
@@ -214,9 +214,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 # Near copies by five-word shingles.
 
-#: Fingerprints per document, bins of a sketch.
-TABLES = 4
+#: Fingerprints per document, bins of a sketch, and the error allowed to a sketch (nearly five deviations at 0.8).
+TABLES = 12
 BINS = 256
+SURE = 0.12
 
 
 def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -242,18 +243,43 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(((a == b) & used).sum() / used.sum()) if used.any() else 1.0
 
 
+def shingle_sets(docs: DataFrame, words_each: int) -> DataFrame:
+    """``doc_id, shingles``: the distinct shingles of whole texts as 32-bit hashes."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(t or b"", words_each).astype(np.uint32)).view(np.int32) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles array<int>")
+
+
+def resembling(pairs: DataFrame, docs: DataFrame, words_each: int, least: float) -> DataFrame:
+    """The ``pairs`` (doc_ids ``a, b``) whose shingle sets have a Jaccard similarity of ``least`` or more, by whole texts.
+
+    Only texts in a pair are hashed; each pair brings its two sets together.
+    """
+    members = written(pairs.select("a").union(pairs.select("b")).toDF("_gw_member").distinct(), "members")
+    sets = written(shingle_sets(docs.join(members, docs["doc_id"] == members["_gw_member"], "left_semi"), words_each), "shingles")
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
 def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius: int = RADIUS, tables: int = TABLES) -> DataFrame:
     """Groups of exact and near copies: ``doc_id, component_id`` for every doc_id in a group of two or more.
 
     Candidates come from the covering buckets of ``tables`` fingerprints over single words (weight: root of
-    the count), which change little where near copies differ; a candidate stays if the shingles'
-    Jaccard similarity, estimated from 256 bins, is ``least`` or more. Equal texts are always linked. Rows
+    the count), which change little where near copies differ. A sketch estimates the Jaccard similarity of a candidate's
+    shingles: one that shows ``SURE`` more than ``least`` links, one that shows as much less is none, and between these
+    the shingle sets themselves decide, unless links already join the two. Equal texts are always linked. Rows
     with null doc_id or with no word take no part.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, fps, sketches, wholes = batch.column("doc_id"), [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 words, count = np.unique(shingle_hashes(text or b"", 1), return_counts=True)
@@ -265,7 +291,8 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
             offsets = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * tables)
             yield pa.RecordBatch.from_arrays([ids, pa.array(wholes, pa.binary()), pa.ListArray.from_arrays(offsets, flat), pa.array(sketches, pa.binary())], ["doc_id", "whole", "fps", "sketch"])
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, whole binary, fps array<long>, sketch binary")
+    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    rows = named.mapInArrow(run, f"doc_id {kind}, whole binary, fps array<long>, sketch binary")
     rows = written(rows, "sketches").where(F.col("sketch").isNotNull())
     texts = rows.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.any_value("fps").alias("fps"), F.any_value("sketch").alias("sketch"))
     texts = written(texts, "texts")
@@ -283,9 +310,19 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
         return pd.Series([similarity(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)) for x, y in zip(a, b)], dtype=float)
 
     known = texts.select("rep", "sketch")
-    held = candidates.join(known.toDF("a", "sa"), "a").join(known.toDF("b", "sb"), "b").where(alike("sa", "sb") >= least).select("a", "b")
+    shown = candidates.join(known.toDF("a", "sa"), "a").join(known.toDF("b", "sb"), "b").select("a", "b", alike("sa", "sb").alias("shown"))
+    shown = written(shown.where(F.col("shown") >= least - SURE), "shown")
     exact = rows.join(texts.select("whole", "rep"), "whole").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    return connected(held.union(exact)).toDF("doc_id", "component_id")
+    sure = F.col("shown") >= least + SURE
+    groups = written(connected(shown.where(sure).select("a", "b").union(exact)), "groups")
+    open_ = shown.where(~sure).join(groups.toDF("a", "ga"), "a", "left").join(groups.toDF("b", "gb"), "b", "left")
+    open_ = written(open_.withColumn("ga", F.coalesce("ga", "a")).withColumn("gb", F.coalesce("gb", "b")).where("ga != gb"), "open")
+    found = resembling(open_.select("a", "b"), named, words_each, least)
+    # Groups that such a pair joins take the least of their ids; what is in no such pair keeps its group.
+    merged = connected(open_.join(found, ["a", "b"]).select(F.col("ga").alias("a"), F.col("gb").alias("b"))).toDF("group", "component_id")
+    lone = merged.select(F.col("group").alias("node"), F.col("group").alias("component")).join(groups, "node", "left_anti")
+    every = groups.union(lone).join(merged, F.col("component") == F.col("group"), "left")
+    return every.select(F.col("node").alias("doc_id"), F.coalesce("component_id", "component").alias("component_id")).distinct()
 
 
 def dedup_near_copies(docs: DataFrame) -> DataFrame:

@@ -99,6 +99,36 @@ def test_near_copies(spark):
     assert simhash.dedup_near_copies(empty(spark)).count() == 0
 
 
+def test_near_copies_equal_brute_force(spark):
+    """Groups against all pairs' exact similarity, with near copies on both sides of 0.8 and repeated passages."""
+    rng = np.random.default_rng(4)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for base in range(30):
+        words = [f"w{i}" for i in rng.integers(0, 3000, int(rng.integers(60, 500)))]
+        texts[10_000 + 10 * base] = " ".join(words)
+        for copy in range(1, 4):
+            changed = [f"x{rng.integers(9999)}" if rng.random() < 0.012 * copy else w for w in words]
+            texts[10_000 + 10 * base + copy] = " ".join(changed)
+    sets = {}
+    for i, t in texts.items():
+        words = (t or "").encode().lower().split()
+        if words:
+            sets[i] = {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    label = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    grouped = {i for pair in pairs for i in pair}
+    assert len(grouped) > 60 and got == {i: label[i] for i in grouped}
+
+
 def test_bpe_equals_tiktoken(spark):
     import tiktoken
 
