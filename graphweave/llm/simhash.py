@@ -34,14 +34,13 @@ def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
     return [sum(1 << i for i, p in enumerate(vectors) if (p & v).bit_count() & 1) for v in range(1, size + 1)]
 
 
-def majority_bits(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
-    """The 64-bit word whose bits are set in over half of the (weighted) hashes; 0 for none."""
+def majority_bits(hashes: np.ndarray) -> int:
+    """The 64-bit word whose bits are set in over half of the hashes; 0 for none."""
     if not len(hashes):
         return 0
     columns = hashes.view(np.uint8).reshape(-1, 8)
-    counts = np.concatenate([np.bincount(columns[:, j], weights, 256) @ _BYTE_BITS for j in range(8)])
-    total = len(hashes) if weights is None else weights.sum()
-    return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
+    counts = np.concatenate([np.bincount(columns[:, j], minlength=256) @ _BYTE_BITS for j in range(8)])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def shingle_hashes(text: bytes, words_each: int, seed: int = SEED) -> np.ndarray:
@@ -228,6 +227,20 @@ def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_fingerprints(words: np.ndarray, count: np.ndarray, tables: int) -> list[int]:
+    """Majority words of ``tables`` derived hashes of the distinct ``words``, weighted by the root of their count, 4096 words at a time.
+
+    Weights are whole sixteenths, so that sums are exact in any order.
+    """
+    weights, sums = np.round(16 * np.sqrt(count)).astype(np.float32), np.zeros(64 * tables)
+    for at in range(0, len(words), 4096):
+        hashes = np.stack([_mixed(words[at : at + 4096], k) for k in range(tables)], axis=1)
+        bits = np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little")
+        sums += weights[at : at + 4096] @ bits.astype(np.float32)
+    ahead = 2 * sums > weights.sum(dtype=np.float64)
+    return np.packbits(ahead, bitorder="little").view(np.uint64).tolist()
+
+
 def sketch(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
     """One-permutation MinHash: per bin 16 bits of the least hash in it plus 1, or 0 for an empty bin."""
     out = np.zeros(bins, np.uint16)
@@ -283,8 +296,7 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
             ids, fps, sketches, wholes = batch.column("doc_id"), [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 words, count = np.unique(shingle_hashes(text or b"", 1), return_counts=True)
-                weights = np.sqrt(count)
-                fps.append([majority_bits(_mixed(words, k), weights) for k in range(tables)])
+                fps.append(word_fingerprints(words, count, tables))
                 sketches.append(sketch(shingle_hashes(text or b"", words_each)).tobytes() if len(words) else None)
                 wholes.append(xxhash.xxh128_digest(b" ".join((text or b"").lower().split())))
             flat = pa.array(np.array(fps, np.uint64).reshape(-1).view(np.int64))
