@@ -306,7 +306,8 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
     named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     rows = named.mapInArrow(run, f"doc_id {kind}, whole binary, fps array<long>, sketch binary")
     rows = written(rows, "sketches").where(F.col("sketch").isNotNull())
-    texts = rows.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.any_value("fps").alias("fps"), F.any_value("sketch").alias("sketch"))
+    copied = (F.min("doc_id") != F.max("doc_id")).alias("copied")
+    texts = rows.groupBy("whole").agg(F.min("doc_id").alias("rep"), copied, F.any_value("fps").alias("fps"), F.any_value("sketch").alias("sketch"))
     texts = written(texts, "texts")
     spread = texts.select("rep", F.posexplode("fps").alias("space", "fp"))
     owners = written(spread.groupBy("space", "fp").agg(F.min("rep").alias("head")), "owners")
@@ -324,17 +325,20 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
     known = texts.select("rep", "sketch")
     shown = candidates.join(known.toDF("a", "sa"), "a").join(known.toDF("b", "sb"), "b").select("a", "b", alike("sa", "sb").alias("shown"))
     shown = written(shown.where(F.col("shown") >= least - SURE), "shown")
-    exact = rows.join(texts.select("whole", "rep"), "whole").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # Only texts are linked, each named by its least doc_id; a doc_id that has several texts joins them.
+    members = written(rows.select("doc_id", "whole").join(texts.select("whole", "rep", "copied"), "whole").select("doc_id", "rep", "copied"), "placed")
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("b")).join(members, "doc_id").where("rep != b").select(F.col("rep").alias("a"), "b")
     sure = F.col("shown") >= least + SURE
-    groups = written(connected(shown.where(sure).select("a", "b").union(exact)), "groups")
+    groups = written(connected(shown.where(sure).select("a", "b").union(several)), "groups")
     open_ = shown.where(~sure).join(groups.toDF("a", "ga"), "a", "left").join(groups.toDF("b", "gb"), "b", "left")
     open_ = written(open_.withColumn("ga", F.coalesce("ga", "a")).withColumn("gb", F.coalesce("gb", "b")).where("ga != gb"), "open")
     found = resembling(open_.select("a", "b"), named, words_each, least)
     # Groups that such a pair joins take the least of their ids; what is in no such pair keeps its group.
     merged = connected(open_.join(found, ["a", "b"]).select(F.col("ga").alias("a"), F.col("gb").alias("b"))).toDF("group", "component_id")
     lone = merged.select(F.col("group").alias("node"), F.col("group").alias("component")).join(groups, "node", "left_anti")
-    every = groups.union(lone).join(merged, F.col("component") == F.col("group"), "left")
-    return every.select(F.col("node").alias("doc_id"), F.coalesce("component_id", "component").alias("component_id")).distinct()
+    every = groups.union(lone).join(merged, F.col("component") == F.col("group"), "left").select("node", F.coalesce("component_id", "component").alias("component_id"))
+    grouped = members.join(every, members["rep"] == every["node"], "left").where("copied OR node IS NOT NULL")
+    return grouped.select("doc_id", F.coalesce("component_id", "rep").alias("component_id")).distinct()
 
 
 def dedup_near_copies(docs: DataFrame) -> DataFrame:
