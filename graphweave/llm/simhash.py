@@ -217,6 +217,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 TABLES = 12
 BINS = 256
 SURE = 0.12
+#: Texts sampled to learn which shingles are common, and how many of these are kept; both only shape the order of shingles.
+SAMPLE_TEXTS = 4096
+COMMON = 100_000
+#: Up to this many texts that share a shingle are paired in memory; more are dealt out in salted blocks of about that size.
+SMALL_GROUP = 1024
 
 
 def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -280,34 +285,164 @@ def resembling(pairs: DataFrame, docs: DataFrame, words_each: int, least: float)
     return both.where(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def common_shingles(docs: DataFrame, words_each: int, most: int = COMMON, texts: int = SAMPLE_TEXTS) -> np.ndarray:
+    """Shingles (XXH64) that three or more of about ``texts`` sampled texts hold, rarest first, the ``most`` most frequent at most."""
+    n = docs.count()
+    sample = docs if n <= texts else docs.where(F.pmod(F.xxhash64("doc_id", F.lit("texts")), F.lit(1 << 30)) < int((1 << 30) * texts / n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(t or b"", words_each)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
+
+    counted = sample.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n >= 3")
+    rows = counted.orderBy(F.desc("n"), "token").limit(most).collect()
+    return np.array([r["token"] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first of the distinct, sorted ``shingles`` in one order for all texts: uncommon ones by hash, then ``common`` ones, rarest first.
+
+    Two sets of similarity ``least`` or more share at least ``least`` of either's members, so that leaving out
+    one member less than that of each still leaves their first common member in both prefixes.
+    ``common`` has the common shingles sorted and the rank of each.
+    """
+    length = len(shingles) - int(np.ceil(least * len(shingles) - 1e-9)) + 1
+    known, rank = common
+    if not len(known):
+        return shingles[:length]
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    found = known[at] == shingles
+    rare = shingles[~found][:length]
+    if len(rare) == length:
+        return rare
+    return np.concatenate([rare, shingles[found][np.argsort(rank[at[found]])][: length - len(rare)]])
+
+
+def _able(least: float, size_a, size_b, pos_a, pos_b):
+    """Whether two sets that first meet at these places of their orders can reach ``least``, for arrays as for columns."""
+    left_a, left_b = size_a - pos_a, size_b - pos_b
+    need = least / (1 + least) * (size_a + size_b) - 1e-6
+    return (size_a >= least * size_b - 1e-6) & (size_b >= least * size_a - 1e-6) & (left_a >= need) & (left_b >= need)
+
+
+def _pairs_in_groups(least: float, most: int):
+    """Reads rows sorted by token and pairs its texts of different groups; a token of over ``most`` texts is passed on text by text."""
+    names = ["token", "rep", "ca", "size", "pos"]
+
+    def pairs(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+        group, size, pos = pd.factorize(rows["ca"])[0], rows["size"].to_numpy(), rows["pos"].to_numpy()
+        i, j = np.triu_indices(len(rows), 1)
+        kept = group[i] != group[j]
+        i, j = i[kept], j[kept]
+        able = _able(least, size[i], size[j], pos[i], pos[j])
+        i, j = i[able], j[able]
+        rep, ca = rows["rep"].to_numpy(), rows["ca"].to_numpy()
+        return pd.DataFrame({"token": 0, "rep": rep[i], "ca": ca[i], "size": 0, "pos": 0, "b": rep[j], "cb": ca[j], "large": False})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held, passing = None, [], False
+        for pdf in batches:
+            token, out = pdf["token"].to_numpy(), []
+            cut = np.flatnonzero(token[1:] != token[:-1]) + 1
+            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(token)]])
+            last = len(starts) - 1
+            busy = np.flatnonzero((ends - starts > 1) | (np.arange(len(starts)) == 0) | (np.arange(len(starts)) == last))
+            for i in busy:
+                part = pdf.iloc[starts[i] : ends[i]]
+                if token[starts[i]] != current:
+                    if sum(map(len, held)) > 1:
+                        out.append(pairs(held))
+                    current, held, passing = token[starts[i]], [], False
+                if passing:
+                    out.append(part[names].assign(b=part["rep"], cb=part["ca"], large=True))
+                    continue
+                held.append(part)
+                if sum(map(len, held)) > most:
+                    out += [h[names].assign(b=h["rep"], cb=h["ca"], large=True) for h in held]
+                    held, passing = [], True
+                elif i < last:
+                    if sum(map(len, held)) > 1:
+                        out.append(pairs(held))
+                    held = []
+            yield from (o for o in out if len(o))
+        if sum(map(len, held)) > 1:
+            yield pairs(held)
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame, least: float, small_group: int = SMALL_GROUP) -> DataFrame:
+    """All pairs ``a, b`` of texts (with their groups ``ga, gb``) of different groups whose shingle sets can have a similarity of ``least``.
+
+    ``texts`` has ``rep``, ``component``, ``size`` (of the set) and ``prefix``. Texts meet at every shingle of their prefixes; sizes and places
+    tell at once which cannot reach ``least``. Nothing else is left out. A shingle with more than ``small_group`` texts
+    is joined with itself in salted blocks, so no task takes a whole such shingle.
+    """
+    kind = texts.schema["rep"].dataType.simpleString()
+    rows = texts.select(F.posexplode("prefix").alias("pos", "token"), "rep", F.col("component").alias("ca"), "size")
+    dealt = rows.repartition(shuffle_partitions(texts.sparkSession), "token").sortWithinPartitions("token")
+    found = dealt.mapInPandas(_pairs_in_groups(least, small_group), f"token long, rep {kind}, ca {kind}, size int, pos int, b {kind}, cb {kind}, large boolean")
+    found = written(found, "meetings")
+    large = found.where("large").select("token", "rep", "ca", "size", "pos")
+    blocks = large.groupBy("token").agg(F.ceil(F.count("*") / small_group).cast("int").alias("blocks"))
+    large = written(large.join(blocks, "token"), "large")
+    one = large.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
+    other = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "salt", F.col("rep").alias("b"), F.col("ca").alias("cb"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
+    met = one.join(other, ["token", "salt"]).where((F.col("ca") != F.col("cb")) & (F.col("rep") < F.col("b")))
+    met = met.where(_able(least, F.col("size"), F.col("size_b"), F.col("pos"), F.col("pos_b")))
+    both = found.where("NOT large").select("rep", "b", "ca", "cb").union(met.select("rep", "b", "ca", "cb"))
+    first = F.col("rep") < F.col("b")
+    ordered = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in [("rep", "b", "a"), ("b", "rep", "b"), ("ca", "cb", "ga"), ("cb", "ca", "gb")]]
+    return both.select(*ordered).distinct()
+
+
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (``node, component``) after ``links`` (``a, b``) between components or lone nodes joined them; each takes the least id."""
+    # What is in no such link keeps its group.
+    merged = connected(links).toDF("group", "component_id")
+    lone = merged.select(F.col("group").alias("node"), F.col("group").alias("component")).join(groups, "node", "left_anti")
+    every = groups.union(lone).join(merged, F.col("component") == F.col("group"), "left")
+    return written(every.select("node", F.coalesce("component_id", "component").alias("component")), "groups")
+
+
 def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius: int = RADIUS, tables: int = TABLES) -> DataFrame:
     """Groups of exact and near copies: ``doc_id, component_id`` for every doc_id in a group of two or more.
 
-    Candidates come from the covering buckets of ``tables`` fingerprints over single words (weight: root of
-    the count), which change little where near copies differ. A sketch estimates the Jaccard similarity of a candidate's
-    shingles: one that shows ``SURE`` more than ``least`` links, one that shows as much less is none, and between these
-    the shingle sets themselves decide, unless links already join the two. Equal texts are always linked. Rows
-    with null doc_id or with no word take no part.
+    Two rounds. The first finds most links cheaply: candidates come from the covering buckets of ``tables`` fingerprints
+    over single words (weight: root of the count), which change little where near copies differ. A sketch estimates the Jaccard
+    similarity of a candidate's shingles: one that shows ``SURE`` more than ``least`` links, one that shows as much less is left to the second
+    round, and between these the shingle sets themselves decide, unless links already join the two. The second round
+    is complete: every pair that verified links do not already join and that a prefix filter cannot rule
+    out is decided by the shingle sets. Equal texts are always linked. Rows with null doc_id or with no word take no part.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, fps, sketches, wholes = batch.column("doc_id"), [], [], []
+            ids, fps, sketches, wholes, sizes, prefixes = batch.column("doc_id"), [], [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 words, count = np.unique(shingle_hashes(text or b"", 1), return_counts=True)
                 fps.append(word_fingerprints(words, count, tables))
-                sketches.append(sketch(shingle_hashes(text or b"", words_each)).tobytes() if len(words) else None)
+                shingles = np.unique(shingle_hashes(text or b"", words_each))
+                sketches.append(sketch(shingles).tobytes() if len(words) else None)
+                sizes.append(len(shingles))
+                prefixes.append(prefix(shingles, common.value, least).view(np.int64) if len(words) else None)
                 wholes.append(xxhash.xxh128_digest(b" ".join((text or b"").lower().split())))
             flat = pa.array(np.array(fps, np.uint64).reshape(-1).view(np.int64))
             offsets = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * tables)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(wholes, pa.binary()), pa.ListArray.from_arrays(offsets, flat), pa.array(sketches, pa.binary())], ["doc_id", "whole", "fps", "sketch"])
+            columns = {"doc_id": ids, "whole": pa.array(wholes, pa.binary()), "fps": pa.ListArray.from_arrays(offsets, flat), "sketch": pa.array(sketches, pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns | {"size": pa.array(sizes, pa.int32()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
 
     named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    rows = named.mapInArrow(run, f"doc_id {kind}, whole binary, fps array<long>, sketch binary")
+    ranked = common_shingles(named, words_each)
+    by_hash = np.argsort(ranked)
+    common = docs.sparkSession.sparkContext.broadcast((ranked[by_hash], by_hash))
+    rows = named.mapInArrow(run, f"doc_id {kind}, whole binary, fps array<long>, sketch binary, size int, prefix array<long>")
     rows = written(rows, "sketches").where(F.col("sketch").isNotNull())
     copied = (F.min("doc_id") != F.max("doc_id")).alias("copied")
-    texts = rows.groupBy("whole").agg(F.min("doc_id").alias("rep"), copied, F.any_value("fps").alias("fps"), F.any_value("sketch").alias("sketch"))
+    texts = rows.groupBy("whole").agg(F.min("doc_id").alias("rep"), copied, F.any_value("fps").alias("fps"), F.any_value("sketch").alias("sketch"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
     texts = written(texts, "texts")
     spread = texts.select("rep", F.posexplode("fps").alias("space", "fp"))
     owners = written(spread.groupBy("space", "fp").agg(F.min("rep").alias("head")), "owners")
@@ -333,10 +468,11 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
     open_ = shown.where(~sure).join(groups.toDF("a", "ga"), "a", "left").join(groups.toDF("b", "gb"), "b", "left")
     open_ = written(open_.withColumn("ga", F.coalesce("ga", "a")).withColumn("gb", F.coalesce("gb", "b")).where("ga != gb"), "open")
     found = resembling(open_.select("a", "b"), named, words_each, least)
-    # Groups that such a pair joins take the least of their ids; what is in no such pair keeps its group.
-    merged = connected(open_.join(found, ["a", "b"]).select(F.col("ga").alias("a"), F.col("gb").alias("b"))).toDF("group", "component_id")
-    lone = merged.select(F.col("group").alias("node"), F.col("group").alias("component")).join(groups, "node", "left_anti")
-    every = groups.union(lone).join(merged, F.col("component") == F.col("group"), "left").select("node", F.coalesce("component_id", "component").alias("component_id"))
+    groups = joined(groups, open_.join(found, ["a", "b"]).select(F.col("ga").alias("a"), F.col("gb").alias("b")))
+    placed = texts.select("rep", "size", "prefix").join(groups, texts["rep"] == groups["node"], "left")
+    pairs = written(prefix_pairs(placed.select("rep", F.coalesce("component", "rep").alias("component"), "size", "prefix"), least), "pairs")
+    found = resembling(pairs.select("a", "b"), named, words_each, least)
+    every = joined(groups, pairs.join(found, ["a", "b"]).select(F.col("ga").alias("a"), F.col("gb").alias("b"))).toDF("node", "component_id")
     grouped = members.join(every, members["rep"] == every["node"], "left").where("copied OR node IS NOT NULL")
     return grouped.select("doc_id", F.coalesce("component_id", "rep").alias("component_id")).distinct()
 

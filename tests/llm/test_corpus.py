@@ -129,6 +129,45 @@ def test_near_copies_equal_brute_force(spark):
     assert len(grouped) > 60 and got == {i: label[i] for i in grouped}
 
 
+def brute_near_copies(texts):
+    """Label of every text in a group, by all pairs' exact similarity."""
+    sets = {}
+    for i, t in texts.items():
+        words = t.encode().lower().split()
+        sets[i] = {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    label = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while any(label[a] != label[b] for a, b in pairs):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return {i: label[i] for pair in pairs for i in pair}
+
+
+def test_near_copies_with_blocks(spark):
+    """Blocks of new words put before, into or after a text, or cut off it, on both sides of 0.8."""
+    rng, texts = np.random.default_rng(9), {}
+    for base in range(24):
+        n = int(rng.integers(20, 300))
+        words, fresh = [f"w{i}" for i in rng.integers(0, 10**6, n)], [f"x{i}" for i in rng.integers(0, 10**6, n)]
+        k = int(n * (0.1, 0.17, 0.22, 0.3)[base % 4])
+        texts |= {10 * base: " ".join(words), 10 * base + 1: " ".join(words + fresh[:k]), 10 * base + 2: " ".join(fresh[k : 2 * k] + words)}
+        texts |= {10 * base + 3: " ".join(words[: n // 2] + fresh[-k:] + words[n // 2 :]), 10 * base + 4: " ".join(words[: n - k // 2])}
+    want = brute_near_copies(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    assert len(want) > 60 and got == want
+
+
+def test_prefix_pairs_of_common_shingles(spark):
+    """A shingle with more texts than one block holds pairs all of them, but for those of one group."""
+    rows = [(i, i // 2, 3, [7, 100 + i]) for i in range(40)] + [(90, 90, 9, [7, 8])]
+    texts = spark.createDataFrame(rows, "rep long, component long, size int, prefix array<long>")
+    want = {(i, j) for i in range(40) for j in range(i) if i // 2 != j // 2}
+    for most in (4, 1024):
+        got = [(r["b"], r["a"]) for r in simhash.prefix_pairs(texts, 0.8, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_bpe_equals_tiktoken(spark):
     import tiktoken
 
