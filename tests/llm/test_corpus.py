@@ -158,6 +158,15 @@ def test_near_copies_with_blocks(spark):
     assert len(want) > 60 and got == want
 
 
+def test_near_copies_in_equal_words(spark):
+    """Texts of one bag of words have equal fingerprints; one of another order is no copy and must not stand between those that are."""
+    rng = np.random.default_rng(10)
+    words = [f"w{i}" for i in range(200)]
+    texts = {1: " ".join(rng.permutation(words)), 2: " ".join(words), 3: " ".join(words[:100] + [words[101], words[100]] + words[102:])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()} == brute_near_copies(texts) == {2: 2, 3: 2}
+
+
 def test_prefix_pairs_of_common_shingles(spark):
     """A shingle with more texts than one block holds pairs all of them, but for those of one group."""
     rows = [(i, i // 2, 3, [7, 100 + i]) for i in range(40)] + [(90, 90, 9, [7, 8])]
