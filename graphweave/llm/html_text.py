@@ -22,27 +22,38 @@ RAW = set("script style noscript template textarea title iframe svg math".split(
 OUTSIDE = set("nav footer aside form script style noscript template head title iframe svg math select button textarea menu dialog header object".split())
 BOILERPLATE = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead topbar toolbar cookie cookies consent notice gdpr popup modal newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist respond replies reply disqus discussion pagination pager copyright legal disclaimer widget skip hidden".split())
 CONTENT = {"article", "main"}
+WHOLE = CONTENT | {"html", "body"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_PART = re.compile(r"[A-Za-z]+")
+_NAMES = re.compile(r"(?<![^\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CLOSES_P = BLOCKS - {"body", "html", "head", "title", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 
+@dataclass
+class Element:
+    """An open tag with its whole class, id and role names. ``inside``: it lies in an article or main element."""
+
+    tag: str
+    names: frozenset
+    parent: Element | None
+    inside: bool
+
+
 @dataclass
 class Token:
-    """A tag or a run of text. ``inside``: an article or main element is open; ``marks``: tag and class words of the open elements."""
+    """A tag or a run of text. ``inside``: an article or main element is open; ``marks``: tags and names of the open elements."""
 
     tag: str | None
     text: str
     marks: frozenset
     inside: bool
+    element: Element | None
 
 
 def tokens(page: str) -> Iterator[Token]:
     """Tags and texts in page order, with unclosed and misnested elements closed as browsers roughly do."""
-    stack: list[tuple[str, frozenset, bool]] = []
-    none, at, n = (frozenset(), False), 0, len(page)
+    stack: list[tuple[str, frozenset, bool, Element]] = []
+    none, at, n = (frozenset(), False, None), 0, len(page)
     state = lambda: stack[-1][1:] if stack else none
     while at < n:
         m = _TOKEN.search(page, at)
@@ -69,37 +80,36 @@ def tokens(page: str) -> Iterator[Token]:
                 del stack[last:]
         if name == "li" and stack and stack[-1][0] == "li":
             stack.pop()
-        marks, inside = state()
+        marks, inside, parent = state()
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])).lower() if m[3] else ""
-        here = frozenset([name, *("." + w for w in _PART.findall(names))])
-        yield Token(name, "", marks | here, inside)
+        here = frozenset([name, *("." + w for w in names.split())])
+        element = Element(name, here - {name}, parent, inside)
+        yield Token(name, "", marks | here, inside, element)
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I).search(page, at)
             stop = end.start() if end else n
             if page[at:stop]:
-                yield Token(None, page[at:stop], marks | here, inside)
+                yield Token(None, page[at:stop], marks | here, inside, element)
             at = end.end() if end else n
-            yield Token("/" + name, "", marks, inside)
+            yield Token("/" + name, "", marks, inside, parent)
         elif name not in VOID and not m[3].endswith("/"):
-            stack.append((name, marks | here, inside or name in CONTENT))
+            stack.append((name, marks | here, inside or name in CONTENT, element))
 
 
 @dataclass
 class Weights:
-    """``word`` for a word of no marked-off element, ``outer`` for a word of one, a negative score per tag, and the marks that set text off."""
+    """``word`` for a word of no marked-off element, ``outer`` for a word of one, a negative score per tag, the names that set text off and those of articles."""
 
     word: float = 1.0
     outer: float = -1.0
     tag: float = -0.3
     tags: dict[str, float] = field(default_factory=dict)
     off: set[str] = field(default_factory=set)
+    on: set[str] = field(default_factory=set)
 
-    def apart(self, t: Token) -> bool:
-        """Whether the token lies in a menu, header, advert or the like. An article's own header counts as article."""
-        held = t.marks & (OUTSIDE | self.off)
-        if t.inside:
-            held -= {"header"}
-        return bool(held) or any(m[1:] in BOILERPLATE for m in t.marks if m[0] == ".")
+    def sets_off(self, e: Element) -> bool:
+        """Whether the names of an element say menu, advert or the like: names learned, then names in common use unless learned otherwise."""
+        return e.tag not in WHOLE and any(m in self.off or m[1:] in BOILERPLATE and m not in self.on for m in e.names)
 
 
 def count_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,8 +133,8 @@ def count_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit_weights(pages: DataFrame, most: int = SAMPLE_PAGES) -> Weights:
     """Weights from pages that label their article themselves by one article or main element; defaults where none does.
 
-    About ``most`` such pages at most, chosen by hash of the url. A tag costs more the more it goes with words outside; class words whose
-    text is hardly ever inside set text off.
+    About ``most`` such pages at most, chosen by hash of the url. A tag costs more the more it goes with words outside; class names whose
+    text is hardly ever inside set text off, others do not, even if they are in common use for what is no article.
     """
     one = F.regexp_count(F.col("html"), F.lit(r"(?i)<(article|main)[\s>]")) == 1
     known = pages.select("url", "html").where(F.col("html").isNotNull()).where(one)
@@ -142,8 +152,8 @@ def fit_weights(pages: DataFrame, most: int = SAMPLE_PAGES) -> Weights:
         odds = np.log((r["i"] + 0.5) / (whole[0] + 1)) - np.log((r["o"] + 0.5) / (whole[1] + 1))
         if r["kind"] == "tag":
             out.tags[r["name"]] = -float(np.clip(0.3 - odds / 4, 0.1, 2.0))
-        elif r["kind"] == "mark" and r["i"] < 0.02 * r["o"]:
-            out.off.add(r["name"])
+        elif r["kind"] == "mark":
+            (out.off if r["i"] < 0.02 * r["o"] else out.on).add(r["name"])
     return out
 
 
@@ -159,26 +169,72 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
+def layout(read: list[Token], weights: Weights) -> tuple[list[bool], list[bool] | None]:
+    """Whether each token is set off, and whether it lies in the page's labelled article (None: the page labels none).
+
+    A tag or name sets off what its element holds, but a name does not if the element holds most of the page's words and
+    the page's heads (h1, else article and main elements) do not all lie outside it. An article's own header counts as article. The first article or main element with most of the words that are not set off is the labelled one.
+    """
+    made: dict[int, Element] = {}
+    for t in read:
+        if t.element:
+            made.setdefault(id(t.element), t.element)
+    order = list(made)  # Parents come before what they hold.
+    up = {k: id(e.parent) if e.parent else None for k, e in made.items()}
+    off: dict[int | None, bool] = {None: False}
+    for k, e in made.items():
+        off[k] = off[up[k]] or e.tag in OUTSIDE and not (e.tag == "header" and e.inside)
+
+    def held() -> tuple[dict[int | None, int], int]:
+        words = dict.fromkeys([None, *order], 0)
+        for t in read:
+            k = id(t.element) if t.element else None
+            if not t.tag and not off[k]:
+                words[k] += len(t.text.split())
+        for k in reversed(order):
+            words[up[k]] += words[k]
+        return words, words[None]
+
+    heads = [k for k, e in made.items() if e.tag == "h1" and not off[k]] or [k for k, e in made.items() if e.tag in CONTENT and not off[k]]
+    heading = set() if heads else set(order)
+    for k in heads:
+        while k is not None and k not in heading:
+            heading.add(k)
+            k = up[k]
+    words, total = held()
+    for k, e in made.items():
+        off[k] = off[k] or off[up[k]] or (2 * words[k] <= total or k not in heading) and weights.sets_off(e)
+    words, total = held()
+    article = next((k for k, e in made.items() if e.tag in CONTENT and 2 * words[k] > total), None)
+    at = [id(t.element) if t.element else None for t in read]
+    if article is None:
+        return [off[k] for k in at], None
+    within = {None: False}
+    for k in order:
+        within[k] = k == article or within[up[k]]
+    return [off[k] for k in at], [within[k] for k in at]
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     """Blocks of the best run, joined by two line feeds; text of elements set off within it is left out."""
     read, scores = list(tokens(page or "")), []
-    apart = [weights.apart(t) for t in read]
-    labelled = any(t.inside for t in read)
-    for t, off in zip(read, apart):
+    apart, within = layout(read, weights)
+    outside = [within is not None and not w for w in within or apart]
+    for t, off, out in zip(read, apart, outside):
         if t.tag:
             scores.append(weights.tags.get(t.tag, weights.tag))
         else:
             n = len(t.text.split())
-            scores.append(n * (weights.outer if off or labelled and not t.inside else weights.word if not labelled else 8 * weights.word))
+            scores.append(n * (weights.outer if off or out else weights.word if within is None else 8 * weights.word))
     start, end = best_run(scores)
     blocks, now = [], []
-    for t, off in zip(read[start:end], apart[start:end]):
+    for t, off, out in zip(read[start:end], apart[start:end], outside[start:end]):
         if t.tag and t.tag.lstrip("/") in BLOCKS:
             blocks.append(now)
             now = []
         elif t.tag == "br":
             now.append(" ")
-        elif not t.tag and not off and not (labelled and not t.inside):
+        elif not t.tag and not off and not out:
             now.append(html.unescape(t.text))
     cleaned = (" ".join("".join(b).split()) for b in [*blocks, now])
     return "\n\n".join(c for c in cleaned if c)
@@ -188,8 +244,8 @@ def extract(pages: DataFrame, weights: Weights) -> DataFrame:
     """``page_id, url, text, n_chars`` (code points) of every page from its whole html.
 
     Words score positive and tags negative; words of menus, adverts and the like score negative too. The run of tokens
-    with the largest sum is the article. Where a page has an article or main element, only words in it
-    score positive. Null, empty or wordless pages give an empty text. Repeated rows come out repeated. Other columns are ignored.
+    with the largest sum is the article. Where an article or main element holds most
+    words that are not set off, only words in it score positive. Null, empty or wordless pages give an empty text. Repeated rows come out repeated. Other columns are ignored.
     """
     cast = pages.sparkSession.sparkContext.broadcast(weights)
 

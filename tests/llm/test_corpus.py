@@ -273,6 +273,27 @@ def test_main_text():
     assert html_text.main_text(None, weights) == html_text.main_text("", weights) == html_text.main_text("<p><br>", weights) == ""
 
 
+LONG = " ".join(f"word{i}" for i in range(120))
+
+
+@pytest.mark.parametrize("page", [
+    f"<body class='single no-sidebar'><div class=nav>menu</div><p>{LONG}</p></body>",
+    f"<body><div class='elementor-widget'><h1></h1><p>{LONG}</p></div><div class='widget'>small</div></body>",
+    f"<body><div id='content' class='with-sidebar' data-id='comments'><p>{LONG}</p></div><div class='sidebar'>small</div></body>",
+    f"<body class='hidden'><main class='legal'><article class='post category-legal comments-open share'><p>{LONG}</p></article></main></body>",
+    f"<body><div class='page social'><p>{LONG}</p></div><div class='comments'>small</div></body>",
+    f"<body><div class='ad'>{'buy now ' * 100}</div><div><h1></h1><p>{LONG}</p></div></body>",
+])
+def test_main_text_in_named_wrappers(page):
+    assert html_text.main_text(page, html_text.Weights()) == LONG
+
+
+def test_learned_names_stand_above_the_list():
+    page = f"<body><div class='promo'><p>{LONG}</p></div><div><h1>{LONG}</h1>{LONG}</div></body>"
+    assert html_text.main_text(page, html_text.Weights()).count(LONG) == 2
+    assert html_text.main_text(page, html_text.Weights(on={".promo"})).count(LONG) == 3
+
+
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline
 
