@@ -288,6 +288,15 @@ def test_main_text_in_named_wrappers(page):
     assert html_text.main_text(page, html_text.Weights()) == LONG
 
 
+@pytest.mark.parametrize("other", ["<article class='comment-body'>nice post</article>", "<article class='comments'>nice post</article>", "<article class='related'><h3>Teaser</h3>next</article>" * 5])
+def test_main_text_beside_small_articles(other):
+    """Articles that hold readers' comments or cards do not make the page one that labels its article."""
+    page = f"<body><div class='text'><h1>Head</h1><p>{LONG}</p></div><div class='comments'>{other}</div></body>"
+    assert html_text.main_text(page, html_text.Weights()) == f"Head\n\n{LONG}"
+    page = f"<body><div class='text'><h1>Head</h1><p>{LONG}</p></div>{other}</body>"
+    assert html_text.main_text(page, html_text.Weights()).startswith(f"Head\n\n{LONG}")
+
+
 def test_learned_names_stand_above_the_list():
     page = f"<body><div class='promo'><p>{LONG}</p></div><div><h1>{LONG}</h1>{LONG}</div></body>"
     assert html_text.main_text(page, html_text.Weights()).count(LONG) == 2
