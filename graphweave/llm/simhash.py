@@ -330,45 +330,44 @@ def _pairs_in_groups(least: float, most: int):
     """Reads rows sorted by token and pairs its texts of different groups; a token of over ``most`` texts is passed on text by text."""
     names = ["token", "rep", "ca", "size", "pos"]
 
-    def pairs(held: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-        group, size, pos = pd.factorize(rows["ca"])[0], rows["size"].to_numpy(), rows["pos"].to_numpy()
-        i, j = np.triu_indices(len(rows), 1)
-        kept = group[i] != group[j]
-        i, j = i[kept], j[kept]
-        able = _able(least, size[i], size[j], pos[i], pos[j])
-        i, j = i[able], j[able]
-        rep, ca = rows["rep"].to_numpy(), rows["ca"].to_numpy()
-        return pd.DataFrame({"token": 0, "rep": rep[i], "ca": ca[i], "size": 0, "pos": 0, "b": rep[j], "cb": ca[j], "large": False})
+    def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        token, size, pos = rows["token"].to_numpy(), rows["size"].to_numpy(), rows["pos"].to_numpy()
+        rep, ca, group = rows["rep"].to_numpy(), rows["ca"].to_numpy(), pd.factorize(rows["ca"])[0]
+        i = np.arange(len(token))
+        # Each row with the row d places on, for all tokens at once, as long as the token lasts.
+        for d in range(1, len(token)):
+            i = i[i + d < len(token)]
+            i = i[token[i] == token[i + d]]
+            if not len(i):
+                break
+            k = i[group[i] != group[i + d]]
+            k = k[_able(least, size[k], size[k + d], pos[k], pos[k + d])]
+            if len(k):
+                yield pd.DataFrame({"token": 0, "rep": rep[k], "ca": ca[k], "size": 0, "pos": 0, "b": rep[k + d], "cb": ca[k + d], "large": False})
+
+    def passed(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[names].assign(b=rows["rep"], cb=rows["ca"], large=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held, passing = None, [], False
+        held, passing = None, None
         for pdf in batches:
-            token, out = pdf["token"].to_numpy(), []
+            rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            held, token = None, rows["token"].to_numpy()
+            if not len(token):
+                continue
             cut = np.flatnonzero(token[1:] != token[:-1]) + 1
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(token)]])
-            last = len(starts) - 1
-            busy = np.flatnonzero((ends - starts > 1) | (np.arange(len(starts)) == 0) | (np.arange(len(starts)) == last))
-            for i in busy:
-                part = pdf.iloc[starts[i] : ends[i]]
-                if token[starts[i]] != current:
-                    if sum(map(len, held)) > 1:
-                        out.append(pairs(held))
-                    current, held, passing = token[starts[i]], [], False
-                if passing:
-                    out.append(part[names].assign(b=part["rep"], cb=part["ca"], large=True))
-                    continue
-                held.append(part)
-                if sum(map(len, held)) > most:
-                    out += [h[names].assign(b=h["rep"], cb=h["ca"], large=True) for h in held]
-                    held, passing = [], True
-                elif i < last:
-                    if sum(map(len, held)) > 1:
-                        out.append(pairs(held))
-                    held = []
-            yield from (o for o in out if len(o))
-        if sum(map(len, held)) > 1:
-            yield pairs(held)
+            many = (ends - starts > most) | (token[starts] == passing if passing is not None else False)
+            passing = token[-1] if many[-1] else None
+            large = np.repeat(many, ends - starts)
+            if large.any():
+                yield passed(rows[large])
+            if passing is None:
+                held = rows.iloc[starts[-1] :]
+                large[starts[-1] :] = True
+            yield from pairs(rows[~large])
+        if held is not None:
+            yield from pairs(held)
 
     return run
 
