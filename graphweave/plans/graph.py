@@ -197,10 +197,22 @@ def dominator_choke_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lowest node above the orders that every path to a part passes: in a layered graph, the last layer where its callers meet."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("c_nationkey"))
+    r = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.col("n_regionkey").cast("long").alias("n_regionkey"))
     u = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    ends = u.groupBy("l_partkey").agg(F.min("c_custkey").alias("a"), F.max("c_custkey").alias("b"), F.min("c_nationkey").alias("m"), F.max("c_nationkey").alias("n"))
-    one, same = F.col("a") == F.col("b"), F.col("m") == F.col("n")
-    return ends.select("l_partkey", F.when(one, "customer").when(same, "nation").otherwise("root").alias("choke"), F.when(one, F.col("a")).when(same, F.col("m")).otherwise(F.lit(-1)).cast("long").alias("choke_key"))
+    u = u.join(F.broadcast(r), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    # A nation without a row or region hangs from the root itself.
+    layers = [("customer", "c_custkey"), ("nation", "c_nationkey"), ("region", "n_regionkey")]
+    ends = u.groupBy("l_partkey").agg(
+        *[f(key).alias(f"{kind}_{end}") for kind, key in layers for end, f in (("least", F.min), ("most", F.max))],
+        F.bool_or(F.col("n_regionkey").isNull()).alias("loose"),
+    )
+    choke, at = F.lit("root"), F.lit(-1).cast("long")
+    for kind, _ in reversed(layers):
+        one = F.col(f"{kind}_least") == F.col(f"{kind}_most")
+        if kind == "region":
+            one &= ~F.col("loose")
+        choke, at = F.when(one, kind).otherwise(choke), F.when(one, F.col(f"{kind}_least").cast("long")).otherwise(at)
+    return ends.select("l_partkey", choke.alias("choke"), at.alias("choke_key"))
 
 
 @registered(f"WITH n AS ({_NODES}) SELECT id, kind, key, name, row_number() OVER (ORDER BY kind, name, id) AS place FROM n WHERE kind IN ('region', 'nation', 'supplier')")

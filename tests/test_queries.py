@@ -16,3 +16,17 @@ def test_query_equals_its_sql(spark, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+
+
+def test_choke_point_in_a_region(spark, tmp_path):
+    """Callers in two nations of one region meet in the region, those of two regions in the root."""
+    made = {
+        "nation": ([(1, 7), (2, 7), (3, 8)], "n_nationkey int, n_regionkey int"),
+        "customer": ([(10, 1), (20, 2), (30, 3), (40, 1)], "c_custkey long, c_nationkey int"),
+        "orders": ([(100 + c, c) for c in (10, 20, 30, 40)], "o_orderkey long, o_custkey long"),
+        "lineitem": ([(110, 1), (120, 1), (110, 2), (130, 2), (110, 3), (140, 3), (120, 4)], "l_orderkey long, l_partkey long"),
+    }
+    for name, (rows, schema) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {tuple(r) for r in QUERIES["dominator_choke_point"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "region", 7), (2, "root", -1), (3, "nation", 1), (4, "customer", 20)}
