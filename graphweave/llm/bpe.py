@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import shuffle_partitions, slices, written_buckets
+from graphweave.llm.common import shuffle_partitions, slices, small_batches, written_buckets
 
 #: Bytes of text that are cut into one block; the most that one group of the reassembly holds.
 BLOCK_BYTES = 8 << 20
@@ -221,6 +221,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None =
     No rows give no rows. Other columns are ignored. doc_id must be an integer.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = shuffle_partitions(spark)
     buckets = buckets or 4 * n
     ranks = read_ranks(spark, ranks_path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,17 +14,21 @@ from pyspark.sql import functions as F
 #: The white space that separates words in every contract here.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
+
 _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session leaves it unset (local tests), one temporary folder per application is used.
+    Where it is unset, a session in one process (local tests) uses a temporary folder of its own; a cluster
+    fails rather than write where other executors cannot read.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = tempfile.mkdtemp(prefix="spark-graphweave-")
@@ -33,21 +38,44 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it again.
 
-    The files outlive lost executors; whoever owns the shared folder clears it.
+    The files outlive lost executors. ``discard`` deletes them once what is made of them is written itself;
+    the tables that a result is read from stay, and whoever owns the shared folder clears those.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/graphweave-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._gw_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``written`` tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._gw_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows for this session: whole texts travel to Python in them, and a worker holds one or two."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def written_buckets(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
-    """As ``written``, in hash buckets of ``key``: joining or grouping by it later needs no shuffle of these rows."""
+    """As ``written``, in hash buckets of ``key``: joining or grouping by it later needs no shuffle of these rows.
+
+    Only a catalog table can tell Spark of buckets; its entry goes again at once, the plan that has read it keeps them.
+    """
+    spark = df.sparkSession
     table = f"graphweave_{name}_{uuid.uuid4().hex}"
-    path = f"{shared_folder(df.sparkSession)}/{table}"
-    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
-    return df.sparkSession.table(table)
+    df.write.option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}").bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -98,7 +126,8 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        bound = written(small.where(F.col("a") != F.col("b")).distinct(), "edges")
+        before, bound = bound, written(small.where(F.col("a") != F.col("b")).distinct(), "edges")
+        discard(before)
         state = bound.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break

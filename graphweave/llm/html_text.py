@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweave.llm.common import small_batches
+
 #: Bound of the fit: labelled pages sampled.
 SAMPLE_PAGES = 2000
 
@@ -247,6 +249,7 @@ def extract(pages: DataFrame, weights: Weights) -> DataFrame:
     with the largest sum is the article. Where an article or main element holds most
     words that are not set off, only words in it score positive. Null, empty or wordless pages give an empty text. Repeated rows come out repeated. Other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     cast = pages.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("string")

@@ -11,6 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweave.llm.common import small_batches
 from graphweave.llm.models import fit_logistic
 
 #: Bounds of the fit: documents sampled per language. Cells that hashed bigrams and trigrams share.
@@ -115,6 +116,7 @@ def identify(docs: DataFrame, coder: Coder) -> DataFrame:
     ``und`` (score 0, ambiguous) for null text or text without a letter. All other columns and rows stay;
     columns of those names are replaced.
     """
+    small_batches(docs.sparkSession)
     cast = docs.sparkSession.sparkContext.broadcast(coder)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")

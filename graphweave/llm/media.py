@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import written
+from graphweave.llm.common import small_batches, written
 
 WIDTH = 64
 SEQUENCE = "array<struct<position:int,kind:string,text:string,ref:string,caption:string>>"
@@ -173,6 +173,7 @@ def text_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    small_batches(spark)
     pages, payloads = text_media(docs)
     read = image_features(written(payloads, "media"))
     facts = [c for c in read.columns if c != "digest"]

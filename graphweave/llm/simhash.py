@@ -9,10 +9,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import connected, shuffle_partitions, slices, written
+from graphweave.llm.common import connected, discard, shuffle_partitions, slices, small_batches, written
 
 RADIUS = 3
 SEED = 42
@@ -141,30 +141,32 @@ def _balls(masks: list[int], radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         steps = {}
         for pdf in batches:
-            for mask, fp in zip(pdf["mask"], pdf["a"].to_numpy().view(np.uint64)):
+            for mask, rows in pdf.groupby("mask"):
                 if mask not in steps:
                     free = [1 << i for i in range(64) if not masks[mask % len(masks)] >> i & 1]
                     flips = [(k, sum(c)) for k in range(radius - short + 1) for c in combinations(free, k)]
                     steps[mask] = np.array([f for _, f in flips], np.uint64), np.array([k > short for k, _ in flips])
                 flips, far = steps[mask]
-                yield pd.DataFrame({"mask": mask, "z": (flips ^ fp).view(np.int64), "far": far, "fp": fp.view(np.int64)})
+                fps = rows["a"].to_numpy().view(np.uint64)
+                for at in range(0, len(fps), 32):
+                    own = fps[at : at + 32, None]
+                    yield pd.DataFrame({"mask": mask, "z": (flips ^ own).view(np.int64).ravel(), "far": np.tile(far, len(own)), "fp": np.repeat(own.view(np.int64).ravel(), len(flips))})
 
     return run
 
 
 def _links_in_balls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Reads rows sorted by (mask, z, far): a near one in a ball is linked with all others of the ball."""
-    last = None
+    first = None
     for pdf in batches:
-        group = list(zip(pdf["mask"].to_numpy(), pdf["z"].to_numpy()))
-        fp, far = pdf["fp"].to_numpy(), pdf["far"].to_numpy()
-        rows = []
-        for i, name in enumerate(group):
-            if last is None or name != last[0]:
-                last = (name, None if far[i] else fp[i])
-            elif last[1] is not None and fp[i] != last[1]:
-                rows.append((fp[i], last[1], name[0]))
-        yield pd.DataFrame(rows, columns=["a", "b", "mask"], dtype=np.int64)
+        rows = pdf if first is None else pd.concat([first, pdf], ignore_index=True)
+        mask, z, fp = rows["mask"].to_numpy(), rows["z"].to_numpy(), rows["fp"].to_numpy()
+        i = np.arange(len(rows))
+        head = np.maximum.accumulate(np.where((i == 0) | (mask != np.roll(mask, 1)) | (z != np.roll(z, 1)), i, 0))
+        linked = ~rows["far"].to_numpy()[head] & (fp != fp[head])
+        if len(rows):
+            first = rows.iloc[[head[-1]]]
+        yield pd.DataFrame({"a": fp[linked], "b": fp[head[linked]], "mask": mask[linked]})
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
@@ -198,6 +200,7 @@ def link_documents(docs: DataFrame, words_each: int = 3, radius: int = RADIUS, s
     like any other. Fewer than ``words_each`` words make one shingle. Null doc_ids keep their row and
     are no component's id unless nothing else is in it. Repeated rows come out repeated. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = written(fingerprints(docs, words_each, seed), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     labels = connected(near_links(classes.select(F.lit(0).alias("space"), "fp"), radius, small_bucket))
@@ -213,14 +216,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 # Near copies by five-word shingles.
 
-#: Fingerprints per document, bins of a sketch, and the error allowed to a sketch (nearly five deviations at 0.8).
-TABLES = 12
-BINS = 256
-SURE = 0.12
+#: Fingerprints per text.
+TABLES = 2
 #: Texts sampled to learn which shingles are common, and how many of these are kept; both only shape the order of shingles.
 SAMPLE_TEXTS = 4096
 COMMON = 100_000
-#: Up to this many texts that share a shingle are paired in memory; more are dealt out in salted blocks of about that size.
+#: Texts that share a shingle and are still in different groups are compared in salted blocks of about this size.
 SMALL_GROUP = 1024
 
 
@@ -246,21 +247,6 @@ def word_fingerprints(words: np.ndarray, count: np.ndarray, tables: int) -> list
     return np.packbits(ahead, bitorder="little").view(np.uint64).tolist()
 
 
-def sketch(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """One-permutation MinHash: per bin 16 bits of the least hash in it plus 1, or 0 for an empty bin."""
-    out = np.zeros(bins, np.uint16)
-    if len(shingles):
-        ordered = np.sort(shingles)[::-1]
-        out[(ordered % np.uint64(bins)).astype(np.int64)] = ((ordered >> np.uint64(20)) % np.uint64(65535)).astype(np.uint16) + 1
-    return out
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity that two sketches show."""
-    used = (a != 0) | (b != 0)
-    return float(((a == b) & used).sum() / used.sum()) if used.any() else 1.0
-
-
 def shingle_sets(docs: DataFrame, words_each: int) -> DataFrame:
     """``doc_id, shingles``: the distinct shingles of whole texts as 32-bit hashes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -276,13 +262,15 @@ def shingle_sets(docs: DataFrame, words_each: int) -> DataFrame:
 def resembling(pairs: DataFrame, docs: DataFrame, words_each: int, least: float) -> DataFrame:
     """The ``pairs`` (doc_ids ``a, b``) whose shingle sets have a Jaccard similarity of ``least`` or more, by whole texts.
 
-    Only texts in a pair are hashed; each pair brings its two sets together.
+    Only texts in a pair are hashed; each pair brings its two sets together. The result is written.
     """
     members = written(pairs.select("a").union(pairs.select("b")).toDF("_gw_member").distinct(), "members")
     sets = written(shingle_sets(docs.join(members, docs["doc_id"] == members["_gw_member"], "left_semi"), words_each), "shingles")
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    both = pairs.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    out = written(both.where(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "alike")
+    discard(members, sets)
+    return out
 
 
 def common_shingles(docs: DataFrame, words_each: int, most: int = COMMON, texts: int = SAMPLE_TEXTS) -> np.ndarray:
@@ -326,75 +314,38 @@ def _able(least: float, size_a, size_b, pos_a, pos_b):
     return (size_a >= least * size_b - 1e-6) & (size_b >= least * size_a - 1e-6) & (left_a >= need) & (left_b >= need)
 
 
-def _pairs_in_groups(least: float, most: int):
-    """Reads rows sorted by token and pairs its texts of different groups; a token of over ``most`` texts is passed on text by text."""
-    names = ["token", "rep", "ca", "size", "pos"]
-
-    def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        token, size, pos = rows["token"].to_numpy(), rows["size"].to_numpy(), rows["pos"].to_numpy()
-        rep, ca, group = rows["rep"].to_numpy(), rows["ca"].to_numpy(), pd.factorize(rows["ca"])[0]
-        i = np.arange(len(token))
-        # Each row with the row d places on, for all tokens at once, as long as the token lasts.
-        for d in range(1, len(token)):
-            i = i[i + d < len(token)]
-            i = i[token[i] == token[i + d]]
-            if not len(i):
-                break
-            k = i[group[i] != group[i + d]]
-            k = k[_able(least, size[k], size[k + d], pos[k], pos[k + d])]
-            if len(k):
-                yield pd.DataFrame({"token": 0, "rep": rep[k], "ca": ca[k], "size": 0, "pos": 0, "b": rep[k + d], "cb": ca[k + d], "large": False})
-
-    def passed(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows[names].assign(b=rows["rep"], cb=rows["ca"], large=True)
+def meetings(texts: DataFrame) -> DataFrame:
+    """Every shingle of a prefix that two texts or more have there: ``token, rep, size, pos``, and of the least text ``head, head_size, head_pos``."""
+    rows = texts.select(F.posexplode("prefix").alias("pos", "token"), "rep", "size")
+    first = F.min(F.struct("rep", "size", "pos")).over(Window.partitionBy("token"))
+    last = F.max("rep").over(Window.partitionBy("token"))
+    met = rows.select("token", "rep", "size", "pos", first.alias("h"), last.alias("l")).where("h.rep != l")
+    return met.select("token", "rep", "size", "pos", F.col("h.rep").alias("head"), F.col("h.size").alias("head_size"), F.col("h.pos").alias("head_pos"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, passing = None, None
-        for pdf in batches:
-            rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            held, token = None, rows["token"].to_numpy()
-            if not len(token):
-                continue
-            cut = np.flatnonzero(token[1:] != token[:-1]) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(token)]])
-            many = (ends - starts > most) | (token[starts] == passing if passing is not None else False)
-            passing = token[-1] if many[-1] else None
-            large = np.repeat(many, ends - starts)
-            if large.any():
-                yield passed(rows[large])
-            if passing is None:
-                held = rows.iloc[starts[-1] :]
-                large[starts[-1] :] = True
-            yield from pairs(rows[~large])
-        if held is not None:
-            yield from pairs(held)
 
-    return run
+def open_pairs(met: DataFrame, least: float, small_group: int = SMALL_GROUP) -> DataFrame:
+    """Pairs ``a, b`` of texts (with their groups ``ga, gb``) of different groups (``component``) that meet and can have a similarity of ``least``.
+
+    Shingles whose texts are all of one group are left out at once. A shingle with more than ``small_group`` texts is joined with itself
+    in salted blocks, so no task takes a whole such shingle.
+    """
+    counts = met.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / small_group).cast("int").alias("blocks"))
+    rows = written(met.join(counts.where("lo != hi").select("token", "blocks"), "token").select("token", "rep", "size", "pos", "component", "blocks"), "open")
+    one = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
+    other = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    other = other.select("token", "salt", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
+    pairs = one.join(other, ["token", "salt"]).where((F.col("component") != F.col("cb")) & (F.col("rep") > F.col("b")))
+    pairs = pairs.where(_able(least, F.col("size"), F.col("size_b"), F.col("pos"), F.col("pos_b")))
+    return pairs.select(F.col("b").alias("a"), F.col("rep").alias("b"), F.col("cb").alias("ga"), F.col("component").alias("gb")).distinct()
 
 
 def prefix_pairs(texts: DataFrame, least: float, small_group: int = SMALL_GROUP) -> DataFrame:
     """All pairs ``a, b`` of texts (with their groups ``ga, gb``) of different groups whose shingle sets can have a similarity of ``least``.
 
     ``texts`` has ``rep``, ``component``, ``size`` (of the set) and ``prefix``. Texts meet at every shingle of their prefixes; sizes and places
-    tell at once which cannot reach ``least``. Nothing else is left out. A shingle with more than ``small_group`` texts
-    is joined with itself in salted blocks, so no task takes a whole such shingle.
+    tell at once which cannot reach ``least``. Nothing else is left out.
     """
-    kind = texts.schema["rep"].dataType.simpleString()
-    rows = texts.select(F.posexplode("prefix").alias("pos", "token"), "rep", F.col("component").alias("ca"), "size")
-    dealt = rows.repartition(shuffle_partitions(texts.sparkSession), "token").sortWithinPartitions("token")
-    found = dealt.mapInPandas(_pairs_in_groups(least, small_group), f"token long, rep {kind}, ca {kind}, size int, pos int, b {kind}, cb {kind}, large boolean")
-    found = written(found, "meetings")
-    large = found.where("large").select("token", "rep", "ca", "size", "pos")
-    blocks = large.groupBy("token").agg(F.ceil(F.count("*") / small_group).cast("int").alias("blocks"))
-    large = written(large.join(blocks, "token"), "large")
-    one = large.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
-    other = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "salt", F.col("rep").alias("b"), F.col("ca").alias("cb"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
-    met = one.join(other, ["token", "salt"]).where((F.col("ca") != F.col("cb")) & (F.col("rep") < F.col("b")))
-    met = met.where(_able(least, F.col("size"), F.col("size_b"), F.col("pos"), F.col("pos_b")))
-    both = found.where("NOT large").select("rep", "b", "ca", "cb").union(met.select("rep", "b", "ca", "cb"))
-    first = F.col("rep") < F.col("b")
-    ordered = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in [("rep", "b", "a"), ("b", "rep", "b"), ("ca", "cb", "ga"), ("cb", "ca", "gb")]]
-    return both.select(*ordered).distinct()
+    return open_pairs(meetings(texts).join(texts.select("rep", "component"), "rep"), least, small_group)
 
 
 def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -409,69 +360,63 @@ def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius: int = RADIUS, tables: int = TABLES) -> DataFrame:
     """Groups of exact and near copies: ``doc_id, component_id`` for every doc_id in a group of two or more.
 
-    Two rounds. The first finds most links cheaply: candidates come from the covering buckets of ``tables`` fingerprints
-    over single words (weight: root of the count), which change little where near copies differ. A sketch estimates the Jaccard
-    similarity of a candidate's shingles: one that shows ``SURE`` more than ``least`` links, one that shows as much less is left to the second
-    round, and between these the shingle sets themselves decide, unless links already join the two. The second round
-    is complete: every pair that verified links do not already join and that a prefix filter cannot rule
-    out is decided by the shingle sets. Equal texts are always linked. Rows with null doc_id or with no word take no part.
+    Equal texts are linked at once; of each only one goes on. Two rounds link the rest, and in both the Jaccard similarity of
+    whole shingle sets decides. The first takes few candidates that link most near copies: the covering buckets of ``tables``
+    SimHash fingerprints over single words (weight: root of the count), which change little where near copies differ, and each
+    text with the least text that shares a shingle of its prefix. The second is complete: every pair that links do not join yet and
+    that the prefix filter cannot rule out. Rows with null doc_id or with no word take no part.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, fps, sketches, wholes, sizes, prefixes = batch.column("doc_id"), [], [], [], [], []
+            ids, fps, wholes, sizes, prefixes = batch.column("doc_id"), [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 words, count = np.unique(shingle_hashes(text or b"", 1), return_counts=True)
                 fps.append(word_fingerprints(words, count, tables))
                 shingles = np.unique(shingle_hashes(text or b"", words_each))
-                sketches.append(sketch(shingles).tobytes() if len(words) else None)
                 sizes.append(len(shingles))
                 prefixes.append(prefix(shingles, common.value, least).view(np.int64) if len(words) else None)
                 wholes.append(xxhash.xxh128_digest(b" ".join((text or b"").lower().split())))
             flat = pa.array(np.array(fps, np.uint64).reshape(-1).view(np.int64))
             offsets = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * tables)
-            columns = {"doc_id": ids, "whole": pa.array(wholes, pa.binary()), "fps": pa.ListArray.from_arrays(offsets, flat), "sketch": pa.array(sketches, pa.binary())}
+            columns = {"doc_id": ids, "whole": pa.array(wholes, pa.binary()), "fps": pa.ListArray.from_arrays(offsets, flat)}
             yield pa.RecordBatch.from_pydict(columns | {"size": pa.array(sizes, pa.int32()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
 
     named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     ranked = common_shingles(named, words_each)
     by_hash = np.argsort(ranked)
     common = docs.sparkSession.sparkContext.broadcast((ranked[by_hash], by_hash))
-    rows = named.mapInArrow(run, f"doc_id {kind}, whole binary, fps array<long>, sketch binary, size int, prefix array<long>")
-    rows = written(rows, "sketches").where(F.col("sketch").isNotNull())
+    hashed = written(named.mapInArrow(run, f"doc_id {kind}, whole binary, fps array<long>, size int, prefix array<long>"), "hashed")
+    rows = hashed.where(F.col("prefix").isNotNull())
     copied = (F.min("doc_id") != F.max("doc_id")).alias("copied")
-    texts = rows.groupBy("whole").agg(F.min("doc_id").alias("rep"), copied, F.any_value("fps").alias("fps"), F.any_value("sketch").alias("sketch"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
-    texts = written(texts, "texts")
+    texts = written(rows.groupBy("whole").agg(F.min("doc_id").alias("rep"), copied, F.any_value("fps").alias("fps"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix")), "texts")
+    # Only texts are linked, each named by its least doc_id; a doc_id that has several texts joins them.
+    members = written(rows.select("doc_id", "whole").join(texts.select("whole", "rep", "copied"), "whole").select("doc_id", "rep", "copied"), "placed")
+    discard(hashed)
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a != b")
+    several = members.join(several.drop("a"), "doc_id").where("rep != b").select(F.col("rep").alias("a"), "b")
+    met = written(meetings(texts.select("rep", "size", "prefix")), "meetings")
     spread = texts.select("rep", F.posexplode("fps").alias("space", "fp"))
     owners = written(spread.groupBy("space", "fp").agg(F.min("rep").alias("head")), "owners")
     links = near_links(owners.select("space", "fp"), radius)
     heads = owners.toDF("space", "a", "ha"), owners.toDF("space", "b", "hb")
-    candidates = links.join(heads[0], ["space", "a"]).join(heads[1], ["space", "b"]).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    buckets = links.join(heads[0], ["space", "a"]).join(heads[1], ["space", "b"]).select(F.col("ha").alias("a"), F.col("hb").alias("b"))
     same = spread.join(owners, ["space", "fp"]).where("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    candidates = candidates.union(same)
-    candidates = candidates.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)) for x, y in zip(a, b)], dtype=float)
-
-    known = texts.select("rep", "sketch")
-    shown = candidates.join(known.toDF("a", "sa"), "a").join(known.toDF("b", "sb"), "b").select("a", "b", alike("sa", "sb").alias("shown"))
-    shown = written(shown.where(F.col("shown") >= least - SURE), "shown")
-    # Only texts are linked, each named by its least doc_id; a doc_id that has several texts joins them.
-    members = written(rows.select("doc_id", "whole").join(texts.select("whole", "rep", "copied"), "whole").select("doc_id", "rep", "copied"), "placed")
-    several = members.groupBy("doc_id").agg(F.min("rep").alias("b")).join(members, "doc_id").where("rep != b").select(F.col("rep").alias("a"), "b")
-    sure = F.col("shown") >= least + SURE
-    groups = written(connected(shown.where(sure).select("a", "b").union(several)), "groups")
-    open_ = shown.where(~sure).join(groups.toDF("a", "ga"), "a", "left").join(groups.toDF("b", "gb"), "b", "left")
-    open_ = written(open_.withColumn("ga", F.coalesce("ga", "a")).withColumn("gb", F.coalesce("gb", "b")).where("ga != gb"), "open")
-    found = resembling(open_.select("a", "b"), named, words_each, least)
-    groups = joined(groups, open_.join(found, ["a", "b"]).select(F.col("ga").alias("a"), F.col("gb").alias("b")))
-    placed = texts.select("rep", "size", "prefix").join(groups, texts["rep"] == groups["node"], "left")
-    pairs = written(prefix_pairs(placed.select("rep", F.coalesce("component", "rep").alias("component"), "size", "prefix"), least), "pairs")
-    found = resembling(pairs.select("a", "b"), named, words_each, least)
+    least_of = met.where("rep != head").where(_able(least, F.col("size"), F.col("head_size"), F.col("pos"), F.col("head_pos"))).select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    candidates = buckets.union(same).union(least_of).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    candidates = written(candidates, "candidates")
+    discard(owners, texts)
+    found = resembling(candidates, named, words_each, least)
+    groups = written(connected(found.union(several)), "groups")
+    discard(candidates, found)
+    placed = met.join(groups.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    pairs = written(open_pairs(placed, least), "pairs")
+    discard(met)
+    found = resembling(pairs, named, words_each, least)
     every = joined(groups, pairs.join(found, ["a", "b"]).select(F.col("ga").alias("a"), F.col("gb").alias("b"))).toDF("node", "component_id")
+    discard(pairs, found, groups)
     grouped = members.join(every, members["rep"] == every["node"], "left").where("copied OR node IS NOT NULL")
     return grouped.select("doc_id", F.coalesce("component_id", "rep").alias("component_id")).distinct()
 
