@@ -247,6 +247,35 @@ def word_fingerprints(words: np.ndarray, count: np.ndarray, tables: int) -> list
     return np.packbits(ahead, bitorder="little").view(np.uint64).tolist()
 
 
+def histogram(shingles: np.ndarray) -> bytes:
+    """Counts of a set's hashes in a power of two of bins, about four to a bin; empty if a count does not fit a byte."""
+    bins = 1 << int(np.clip(np.round(np.log2(max(len(shingles), 1) / 4)), 4, 12))
+    counts = np.bincount((shingles & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """The most members that two sets with these histograms can share: in no bin more than the lesser count. -1 if nothing is known."""
+    if not a or not b:
+        return -1
+    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
+    n = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, n).sum(axis=0), y.reshape(-1, n).sum(axis=0)).sum())
+
+
+def possible(pairs: DataFrame, facts: DataFrame, least: float) -> DataFrame:
+    """``pairs`` (with ``a, b``) without those whose sets cannot have a similarity of ``least``, by ``rep, size, hist`` of each; no other is lost."""
+
+    @F.pandas_udf("int")
+    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([most_shared(x, y) for x, y in zip(a, b)], dtype="int32")
+
+    both = pairs.join(facts.toDF("a", "na", "ha"), "a").join(facts.toDF("b", "nb", "hb"), "b").withColumn("most", shared("ha", "hb"))
+    # Hashes that a set's 32-bit form joins could share one member less.
+    kept = (F.col("most") < 0) | (F.col("most") + 1 >= least * (F.col("na") + F.col("nb") - F.col("most") - 1))
+    return both.where(kept).select(*pairs.columns).distinct()
+
+
 def shingle_sets(docs: DataFrame, words_each: int) -> DataFrame:
     """``doc_id, shingles``: the distinct shingles of whole texts as 32-bit hashes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -326,17 +355,23 @@ def meetings(texts: DataFrame) -> DataFrame:
 def open_pairs(met: DataFrame, least: float, small_group: int = SMALL_GROUP) -> DataFrame:
     """Pairs ``a, b`` of texts (with their groups ``ga, gb``) of different groups (``component``) that meet and can have a similarity of ``least``.
 
-    Shingles whose texts are all of one group are left out at once. A shingle with more than ``small_group`` texts is joined with itself
+    Shingles whose texts are all of one group are left out at once. Sets whose sizes differ by more than ``least`` never meet: sizes fall into classes
+    of that ratio, and a text joins those of its own and the next lower class. A shingle with more than ``small_group`` texts of a class is joined
     in salted blocks, so no task takes a whole such shingle.
     """
-    counts = met.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / small_group).cast("int").alias("blocks"))
-    rows = written(met.join(counts.where("lo != hi").select("token", "blocks"), "token").select("token", "rep", "size", "pos", "component", "blocks"), "open")
-    one = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
-    other = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    other = other.select("token", "salt", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
-    pairs = one.join(other, ["token", "salt"]).where((F.col("component") != F.col("cb")) & (F.col("rep") > F.col("b")))
+    counts = met.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    rows = met.join(counts.where("lo != hi").select("token"), "token").select("token", "rep", "size", "pos", "component")
+    rows = written(rows.withColumn("class", F.floor(F.log("size") / float(-np.log(least)) + 1e-9).cast("int")), "open")
+    blocks = rows.groupBy("token", "class").agg(F.ceil(F.count("*") / small_group).cast("int").alias("blocks"))
+    one = rows.join(blocks, ["token", "class"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
+    other = rows.withColumn("low", F.col("class")).withColumn("class", F.explode(F.array(F.col("low"), F.col("low") + 1))).join(blocks, ["token", "class"])
+    other = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    other = other.select("token", "class", "salt", "low", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
+    pairs = one.join(other, ["token", "class", "salt"]).where((F.col("component") != F.col("cb")) & ((F.col("low") < F.col("class")) | (F.col("rep") > F.col("b"))))
     pairs = pairs.where(_able(least, F.col("size"), F.col("size_b"), F.col("pos"), F.col("pos_b")))
-    return pairs.select(F.col("b").alias("a"), F.col("rep").alias("b"), F.col("cb").alias("ga"), F.col("component").alias("gb")).distinct()
+    first = F.col("rep") < F.col("b")
+    ordered = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in [("rep", "b", "a"), ("b", "rep", "b"), ("component", "cb", "ga"), ("cb", "component", "gb")]]
+    return pairs.select(*ordered).distinct()
 
 
 def prefix_pairs(texts: DataFrame, least: float, small_group: int = SMALL_GROUP) -> DataFrame:
@@ -371,27 +406,28 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, fps, wholes, sizes, prefixes = batch.column("doc_id"), [], [], [], []
+            ids, fps, wholes, sizes, prefixes, hists = batch.column("doc_id"), [], [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 words, count = np.unique(shingle_hashes(text or b"", 1), return_counts=True)
                 fps.append(word_fingerprints(words, count, tables))
                 shingles = np.unique(shingle_hashes(text or b"", words_each))
                 sizes.append(len(shingles))
+                hists.append(histogram(shingles))
                 prefixes.append(prefix(shingles, common.value, least).view(np.int64) if len(words) else None)
                 wholes.append(xxhash.xxh128_digest(b" ".join((text or b"").lower().split())))
             flat = pa.array(np.array(fps, np.uint64).reshape(-1).view(np.int64))
             offsets = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * tables)
             columns = {"doc_id": ids, "whole": pa.array(wholes, pa.binary()), "fps": pa.ListArray.from_arrays(offsets, flat)}
-            yield pa.RecordBatch.from_pydict(columns | {"size": pa.array(sizes, pa.int32()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict(columns | {"size": pa.array(sizes, pa.int32()), "hist": pa.array(hists, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
 
     named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     ranked = common_shingles(named, words_each)
     by_hash = np.argsort(ranked)
     common = docs.sparkSession.sparkContext.broadcast((ranked[by_hash], by_hash))
-    hashed = written(named.mapInArrow(run, f"doc_id {kind}, whole binary, fps array<long>, size int, prefix array<long>"), "hashed")
+    hashed = written(named.mapInArrow(run, f"doc_id {kind}, whole binary, fps array<long>, size int, hist binary, prefix array<long>"), "hashed")
     rows = hashed.where(F.col("prefix").isNotNull())
     copied = (F.min("doc_id") != F.max("doc_id")).alias("copied")
-    texts = written(rows.groupBy("whole").agg(F.min("doc_id").alias("rep"), copied, F.any_value("fps").alias("fps"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix")), "texts")
+    texts = written(rows.groupBy("whole").agg(F.min("doc_id").alias("rep"), copied, *[F.any_value(c).alias(c) for c in ("fps", "size", "hist", "prefix")]), "texts")
     # Only texts are linked, each named by its least doc_id; a doc_id that has several texts joins them.
     members = written(rows.select("doc_id", "whole").join(texts.select("whole", "rep", "copied"), "whole").select("doc_id", "rep", "copied"), "placed")
     discard(hashed)
@@ -406,14 +442,15 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
     same = spread.join(owners, ["space", "fp"]).where("rep != head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     least_of = met.where("rep != head").where(_able(least, F.col("size"), F.col("head_size"), F.col("pos"), F.col("head_pos"))).select(F.col("rep").alias("a"), F.col("head").alias("b"))
     candidates = buckets.union(same).union(least_of).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    candidates = written(candidates, "candidates")
-    discard(owners, texts)
+    facts = texts.select("rep", "size", "hist")
+    candidates = written(possible(candidates, facts, least), "candidates")
+    discard(owners)
     found = resembling(candidates, named, words_each, least)
     groups = written(connected(found.union(several)), "groups")
     discard(candidates, found)
     placed = met.join(groups.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    pairs = written(open_pairs(placed, least), "pairs")
-    discard(met)
+    pairs = written(possible(open_pairs(placed, least), facts, least), "pairs")
+    discard(met, texts)
     found = resembling(pairs, named, words_each, least)
     every = joined(groups, pairs.join(found, ["a", "b"]).select(F.col("ga").alias("a"), F.col("gb").alias("b"))).toDF("node", "component_id")
     discard(pairs, found, groups)
