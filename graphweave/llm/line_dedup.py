@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import written
+from graphweave.llm.common import discard, written
 
 WINDOW = 3
 
 
 def _kept(lines: Column, covered: Column) -> Column:
-    """``lines`` without the positions in ``covered``; linear in the number of lines."""
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    return F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
+    """``lines`` without the positions in ``covered``; linear in the number of lines.
+
+    The inner functions would split the text again for every line; as the argument of an outer one it is split once.
+    """
+
+    def left(own: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), covered)
+        return F.array_join(F.transform(kept, lambda i: F.element_at(own, i + 1)), "\n")
+
+    return F.element_at(F.transform(F.array(lines), left), 1)
 
 
 def window_occurrences(docs: DataFrame) -> DataFrame:
@@ -35,14 +42,19 @@ def window_occurrences(docs: DataFrame) -> DataFrame:
 
 
 def covered_positions(docs: DataFrame) -> DataFrame:
-    """Per document with something to remove: ``doc_id, copy, covered`` (line positions from 0)."""
+    """Per document with something to remove: ``doc_id, copy, covered`` (line positions from 0).
+
+    It is written, so that the planner knows its size: where few lines repeat it is broadcast and no text is shuffled.
+    """
     occurrences = written(window_occurrences(docs), "windows")
     place = F.struct("doc_id", "copy", "pos")
     repeated = occurrences.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = repeated.where(F.col("first") != F.col("last")).select("h1", "h2", "first")
     later = occurrences.join(repeated, ["h1", "h2"]).where(place != F.col("first"))
     merged = F.array_distinct(F.flatten(F.transform(F.collect_set("pos"), lambda p: F.array(*[p + k for k in range(WINDOW)]))))
-    return later.groupBy("doc_id", "copy").agg(merged.alias("covered"))
+    covered = written(later.groupBy("doc_id", "copy").agg(merged.alias("covered")), "covered")
+    discard(occurrences)
+    return covered
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
