@@ -47,8 +47,8 @@ def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
 def shard(docs: DataFrame, shards: int = 40, bits: int = BITS, law: str = "rows") -> DataFrame:
     """Order documents along a Hilbert curve and cut the order into ``shards`` runs.
 
-    Dimensions, each quantised to ``2**bits`` cells: language and source (by hash), UTF-8 size (logarithm, four
-    cells per doubling), and doc_id (by its place between the least and the greatest). Shards are runs of the curve, so
+    Dimensions, each quantised to ``2**bits`` cells: language and source (by hash), UTF-8 size (by its
+    logarithm's place between the least and the greatest), and doc_id (likewise). Shards are runs of the curve, so
     each file covers a small box in all four and minimum/maximum statistics prune. Law ``rows``: counts at most one
     apart; law ``bytes``: each run ends where the running size passes its equal share. Ties on the curve fall by text CRC, so
     equal texts lie together where their metadata agree, then doc_id.
@@ -66,11 +66,11 @@ def shard(docs: DataFrame, shards: int = 40, bits: int = BITS, law: str = "rows"
         F.when(F.col("source").isNull(), 0).otherwise(F.pmod(F.xxhash64("source"), F.lit(1 << bits))).alias("d_source"),
     )
     slim = written(slim, "metadata")
-    span = slim.agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("greatest_id"))
-    cells = F.least(F.floor(F.log2(F.col("size") / 16.0) * 4).cast("long"), F.lit((1 << bits) - 1))
+    span = slim.agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("greatest_id"), F.min(F.log2("size")).alias("least_log"), F.max(F.log2("size")).alias("greatest_log"))
     scaled = (F.col("doc_id") - F.col("least_id")).cast("double") / (F.col("greatest_id") - F.col("least_id") + 1).cast("double")
-    placed = slim.crossJoin(F.broadcast(span)).withColumn("d_size", cells)
-    placed = placed.withColumn("d_id", F.coalesce(F.floor(scaled * (1 << bits)), F.lit(0)).cast("long"))
+    sized = F.try_divide(F.log2("size") - F.col("least_log"), F.col("greatest_log") - F.col("least_log"))
+    cell = lambda share: F.least(F.floor(F.coalesce(share, F.lit(0.0)) * (1 << bits)), F.lit((1 << bits) - 1)).cast("long")
+    placed = slim.crossJoin(F.broadcast(span)).withColumn("d_size", cell(sized)).withColumn("d_id", cell(scaled))
 
     @F.pandas_udf("long")
     def curve(lang: pd.Series, source: pd.Series, size: pd.Series, number: pd.Series) -> pd.Series:
