@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from graphweave.llm.common import small_batches
 from graphweave.llm.models import fit_logistic
 
-#: Bounds of the fit: documents sampled per language. Cells that hashed bigrams and trigrams share.
+#: Bounds of the fit: documents sampled per language and over all languages. Cells that hashed bigrams and trigrams share.
 SAMPLE_PER_LANGUAGE = 600
+SAMPLE_DOCS = 4800
 CELLS = 1 << 13
 UNKNOWN = "und"
 AMBIGUOUS_UNDER = 0.2
@@ -60,34 +61,46 @@ class Coder:
     trust: np.ndarray
 
     def losses(self, x: np.ndarray) -> np.ndarray:
-        """Per class the weighted logistic loss of its codeword against the bits' margins."""
+        """Per row and class the weighted logistic loss of the class's codeword against the bits' margins."""
         margins = np.clip(x @ self.weights + self.biases, -20, 20)
-        return np.array([(self.trust * np.log1p(np.exp(-code * margins))).sum() / self.trust.sum() for code in self.codes])
+        # log(1 + exp(-code * margin)) takes two values a bit; the codeword picks one.
+        plus, minus = np.logaddexp(0, -margins) * self.trust, np.logaddexp(0, margins) * self.trust
+        return (plus @ (self.codes > 0).T + minus @ (self.codes < 0).T) / self.trust.sum()
+
+    def predict_all(self, texts: list[str | None], rows: int = 256) -> list[tuple[str, float, bool]]:
+        """Language, score from 0 to 1 (share of exp(-loss) over all codewords) and whether the best two are close, some ``rows`` texts at a time.
+
+        Of languages with equal loss the first by name is taken.
+        """
+        out = [(UNKNOWN, 0.0, True)] * len(texts)
+        for at in range(0, len(texts) if self.languages else 0, rows):
+            found = [(i, x) for i, t in enumerate(texts[at : at + rows], at) if (x := features(t)) is not None]
+            if not found:
+                continue
+            loss = self.losses(np.stack([x for _, x in found]))
+            share = np.exp(-4 * (loss - loss.min(axis=1, keepdims=True)))
+            share /= share.sum(axis=1, keepdims=True)
+            first = loss.argmin(axis=1)
+            top = np.sort(share, axis=1)
+            second = top[:, -2] if top.shape[1] > 1 else np.zeros(len(top))
+            for (i, _), c, best, next_ in zip(found, first.tolist(), top[:, -1].tolist(), second.tolist()):
+                out[i] = self.languages[c], best, best - next_ < AMBIGUOUS_UNDER
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, score from 0 to 1 (share of exp(-loss) over all codewords) and whether the best two are close."""
-        x = features(text)
-        if x is None or not self.languages:
-            return UNKNOWN, 0.0, True
-        loss = self.losses(x)
-        order = np.argsort(loss, kind="stable")
-        share = np.exp(-4 * (loss - loss.min()))
-        second = share[order[1]] / share.sum() if len(order) > 1 else 0.0
-        best = 1.0 / share.sum()
-        return self.languages[order[0]], float(best), bool(best - second < AMBIGUOUS_UNDER)
+        return self.predict_all([text])[0]
 
 
 def fit_coder(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Coder:
-    """Fit on ``doc_id, text, lang``, about ``per_language`` rows of each language at most; null lang rows are left out.
+    """Fit on ``doc_id, text, lang``, about ``per_language`` rows of each language and SAMPLE_DOCS in all at most; null lang rows are left out.
 
     The rate of each language comes from its count over all rows; rows are then chosen by hash.
     """
     known = labelled.where(F.col("lang").isNotNull())
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    rate = F.lit(0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, int((1 << 30) * min(1.0, per_language / n))).otherwise(rate)
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < rate)
+    share = min(per_language, SAMPLE_DOCS / max(1, len(counts)))
+    rates = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, int((1 << 30) * min(1.0, share / n)))]) if counts else F.create_map(F.lit(""), F.lit(0))
+    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < rates[F.col("lang")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -113,15 +126,15 @@ def fit_coder(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> C
 def identify(docs: DataFrame, coder: Coder) -> DataFrame:
     """Add ``lang_pred, score, ambiguous`` from whole texts.
 
-    ``und`` (score 0, ambiguous) for null text or text without a letter. All other columns and rows stay;
-    columns of those names are replaced.
+    ``und`` (score 0, ambiguous) for null text or text without a letter. All other columns and rows stay, repeated ones too;
+    columns of those names are replaced; no rows give no rows.
     """
     small_batches(docs.sparkSession)
     cast = docs.sparkSession.sparkContext.broadcast(coder)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def predict(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([cast.value.predict(t) for t in text], columns=["lang_pred", "score", "ambiguous"])
+        return pd.DataFrame(cast.value.predict_all(text.tolist()), columns=["lang_pred", "score", "ambiguous"])
 
     made = ["lang_pred", "score", "ambiguous"]
     own = docs.select(*[c for c in docs.columns if c not in [*made, "_gw_found"]])
