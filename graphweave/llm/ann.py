@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -94,7 +95,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _stack(pdf: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    pdf = pdf[[len(e) == dim for e in pdf["embedding"]]].sort_values("vec_id")
+    pdf = pdf.sort_values("vec_id")
     vectors = np.array(pdf["embedding"].tolist(), np.float32).reshape(-1, dim)
     return pdf["vec_id"].to_numpy(np.int64), vectors
 
@@ -155,27 +156,34 @@ def _search(dim: int, quantiser: Quantiser, k: int, reranked: int):
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, reranked: int = RERANKED) -> DataFrame:
-    """The ``k`` nearest found of every query: ``query_id, rank, vec_id, score`` (cosine in double precision).
+    """The ``k`` nearest found of every query among the vectors of its length: ``query_id, rank, vec_id, score`` (cosine in double precision).
+
+    Each length has an index of its own (see ``_neighbours``). Vectors that are null, zero, or hold null or non-finite components take no part, nor do null
+    ids. Rows that share a vec_id count once (the least embedding). A vector is no neighbour of its own id. Equal scores rank by the smaller
+    vec_id. No rows give no rows. Other columns are ignored.
+    """
+    rows, asked = written(usable(vectors), "vectors"), usable(queries)
+    sizes = sorted(r["d"] for r in rows.select(F.size("embedding").alias("d")).distinct().collect()) or [1]
+    found = [_neighbours(rows.where(F.size("embedding") == d), asked.where(F.size("embedding") == d), d, k, reranked) for d in sizes]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _neighbours(rows: DataFrame, asked: DataFrame, dim: int, k: int, reranked: int) -> DataFrame:
+    """The search among usable vectors of ``dim`` components.
 
     Codebooks come from at most SAMPLE_VECTORS unit vectors, chosen by hash; every vector is encoded by beam search and indexed
     in blocks with its codes and the norm of their sum. Each block of queries meets each block of the
     index once: lookup tables score all its vectors, and the ``reranked`` best of each query and block are scored exactly on the
-    original vectors. Ties go to the smaller vec_id.
-
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do null
-    ids, nor vectors of another length than most of the sample. Rows that share a vec_id count once
-    (the least embedding). A vector is no neighbour of its own id. No rows give no rows. Other columns are ignored.
+    original vectors.
     """
-    spark = vectors.sparkSession
-    rows = written(usable(vectors), "vectors")
+    spark = rows.sparkSession
     n = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id", F.lit("codebook"))).limit(SAMPLE_VECTORS).toPandas()
-    dim = int(sample["embedding"].map(len).mode().max()) if n else 1
     quantiser = train(_units(_stack(sample, dim)[1])) if n else Quantiser(np.zeros((BOOKS, WORDS, dim), np.float32))
     parts = shuffle_partitions(spark)
     layout = "ids binary, vectors binary, codes binary, norms binary"
     index = written(rows.repartition(max(1, min(parts, -(-n // BLOCK_ROWS)))).mapInPandas(_blocks(dim, BLOCK_ROWS, quantiser), layout), "index")
-    asked = usable(queries).mapInPandas(_blocks(dim, QUERY_ROWS, None), layout)
+    asked = asked.mapInPandas(_blocks(dim, QUERY_ROWS, None), layout)
     asked = written(asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "queries")
     pairs = index.crossJoin(asked).repartition(parts)
     found = pairs.mapInPandas(_search(dim, quantiser, k, reranked), "query_id long, vec_id long, score double")
