@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.llm.common import small_batches
+from graphweave.llm.models import fit_logistic, sigmoid
 
-#: Bound of the fit: labelled pages sampled.
+#: Bounds of the fit: labelled pages sampled (a fifth of them held out), words a name must go with, names that get a weight.
 SAMPLE_PAGES = 2000
+LEAST_WORDS = 20
+FEATURE_NAMES = 2000
+#: How far a listed name, an element that holds no article, and the page's own article element move a word's log odds before any fit.
+LISTED, ASIDE, ARTICLE = -4.0, -8.0, 4.0
 
 # Element names of HTML and class words in common use for what is no article.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section table tbody td tfoot th thead title tr ul".split())
@@ -26,137 +32,170 @@ BOILERPLATE = set("ad ads advert adverts advertisement advertising banner sponso
 CONTENT = {"article", "main"}
 WHOLE = CONTENT | {"html", "body"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+# A quote opens a value only right after the equals sign, as in the HTML standard. Atomic groups keep the match linear.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?<![^\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CLOSES_P = BLOCKS - {"body", "html", "head", "title", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
+_LISTS = {"ul", "ol", "menu"}
 
 
 @dataclass
-class Element:
-    """An open tag with its whole class, id and role names. ``inside``: it lies in an article or main element."""
-
-    tag: str
-    names: frozenset
-    parent: Element | None
-    inside: bool
-
-
-@dataclass
-class Token:
-    """A tag or a run of text. ``inside``: an article or main element is open; ``marks``: tags and names of the open elements."""
-
-    tag: str | None
-    text: str
-    marks: frozenset
-    inside: bool
-    element: Element | None
+class Page:
+    """Tokens (``tag`` or None, ``text``, ``at``: the innermost open element or -1) and elements, parents first.
 
+    An element has its tag, its class, id and role names that no element around it has, its parent, and whether an article or main element is around it.
+    """
 
-def tokens(page: str) -> Iterator[Token]:
-    """Tags and texts in page order, with unclosed and misnested elements closed as browsers roughly do."""
-    stack: list[tuple[str, frozenset, bool, Element]] = []
-    none, at, n = (frozenset(), False, None), 0, len(page)
-    state = lambda: stack[-1][1:] if stack else none
+    tokens: list[tuple[str | None, str, int]] = field(default_factory=list)
+    tags: list[str] = field(default_factory=list)
+    fresh: list[list[str]] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)
+    inside: list[bool] = field(default_factory=list)
+
+
+def read_page(page: str) -> Page:
+    """One pass over the page, linear in its length; unclosed and misnested elements are closed as browsers roughly do."""
+    out, stack = Page(), []
+    depths: dict[str, list[int]] = {}  # per tag, and for blocks other than p, the depths at which one is open
+    held: dict[str, int] = {}  # open elements per name
+
+    def last(kind: str) -> int:
+        return depths[kind][-1] if depths.get(kind) else -1
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            e = stack.pop()
+            depths[out.tags[e]].pop()
+            if out.tags[e] in BLOCKS and out.tags[e] != "p":
+                depths["#block"].pop()
+            for name in names_of[e]:
+                held[name] -= 1
+
+    names_of: dict[int, list[str]] = {}
+    at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
+        here = stack[-1] if stack else -1
         if m is None or m.start() > at:
-            text = page[at : m.start() if m else n]
-            if text:
-                yield Token(None, text, *state())
+            out.tokens.append((None, page[at : m.start() if m else n], here))
         if m is None:
-            return
+            break
         at = max(m.end(), at + 1)
         if not m[2]:
             continue
-        name = m[2].lower()
+        tag = m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    del stack[depth:]
-                    break
-            yield Token("/" + name, "", *state())
+            if last(tag) >= 0:
+                close(last(tag))
+            out.tokens.append(("/" + tag, "", stack[-1] if stack else -1))
             continue
-        if name in _CLOSES_P and any(s[0] == "p" for s in stack):
-            last = max(i for i, s in enumerate(stack) if s[0] == "p")
-            if all(s[0] not in BLOCKS for s in stack[last + 1 :]):
-                del stack[last:]
-        if name == "li" and stack and stack[-1][0] == "li":
-            stack.pop()
-        marks, inside, parent = state()
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])).lower() if m[3] else ""
-        here = frozenset([name, *("." + w for w in names.split())])
-        element = Element(name, here - {name}, parent, inside)
-        yield Token(name, "", marks | here, inside, element)
-        if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I).search(page, at)
+        if tag in _CLOSES_P and last("p") > last("#block"):
+            close(last("p"))
+        if tag == "li" and last("li") > max(map(last, _LISTS)):
+            close(last("li"))
+        up = stack[-1] if stack else -1
+        attributes = m[3]
+        found = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower().split() if attributes else []
+        names = list(dict.fromkeys([tag, *("." + w for w in found)]))
+        e = len(out.tags)
+        out.tags.append(tag)
+        out.fresh.append([name for name in names if not held.get(name)])
+        out.parents.append(up)
+        out.inside.append(up >= 0 and (out.inside[up] or out.tags[up] in CONTENT))
+        out.tokens.append((tag, "", e))
+        if tag in RAW:
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             stop = end.start() if end else n
             if page[at:stop]:
-                yield Token(None, page[at:stop], marks | here, inside, element)
+                out.tokens.append((None, page[at:stop], e))
             at = end.end() if end else n
-            yield Token("/" + name, "", marks, inside, parent)
-        elif name not in VOID and not m[3].endswith("/"):
-            stack.append((name, marks | here, inside or name in CONTENT, element))
+            out.tokens.append(("/" + tag, "", up))
+        elif tag not in VOID and not attributes.endswith("/"):
+            depths.setdefault(tag, []).append(len(stack))
+            if tag in BLOCKS and tag != "p":
+                depths.setdefault("#block", []).append(len(stack))
+            names_of[e] = names
+            for name in names:
+                held[name] = held.get(name, 0) + 1
+            stack.append(e)
+    return out
 
 
 @dataclass
 class Weights:
-    """``word`` for a word of no marked-off element, ``outer`` for a word of one, a negative score per tag, the names that set text off and those of articles."""
+    """Log odds that a word belongs to the article: ``bias`` and what each name (a tag, or ``.`` and a class) around it adds. A word scores
+    twice its probability less 1; negative scores count ``gap`` times. ``tag`` and ``tags``: the negative score of a tag. ``on``: listed names that say nothing after all."""
 
-    word: float = 1.0
-    outer: float = -1.0
+    bias: float = 2.0
+    names: dict[str, float] = field(default_factory=dict)
     tag: float = -0.3
     tags: dict[str, float] = field(default_factory=dict)
-    off: set[str] = field(default_factory=set)
+    gap: float = 0.25
     on: set[str] = field(default_factory=set)
 
-    def sets_off(self, e: Element) -> bool:
-        """Whether the names of an element say menu, advert or the like: names learned, then names in common use unless learned otherwise."""
-        return e.tag not in WHOLE and any(m in self.off or m[1:] in BOILERPLATE and m not in self.on for m in e.names)
+    def of(self, name: str) -> float:
+        prior = LISTED if name[1:] in BOILERPLATE and name[0] == "." and name not in self.on else 0.0
+        return self.names.get(name, prior)
 
 
-def count_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words inside and outside the labelled article, by mark and by tag, of pages with just one article or main element."""
-    for pdf in batches:
-        rows: dict[tuple[str, str], list[int]] = {}
-        for page in pdf["html"]:
-            for t in tokens(page):
-                side = 0 if t.inside else 1
-                if t.tag:
-                    rows.setdefault(("tag", t.tag), [0, 0])[side] += 1
-                else:
-                    n = len(t.text.split())
-                    rows.setdefault(("all", ""), [0, 0])[side] += n
-                    for mark in t.marks:
-                        if mark[0] == ".":
-                            rows.setdefault(("mark", mark), [0, 0])[side] += n
-        yield pd.DataFrame([(*k, *v) for k, v in rows.items()], columns=["kind", "name", "inside", "outside"])
+def _aside(p: Page, e: int) -> bool:
+    """Elements that hold no article by their meaning; an article's own header belongs to it."""
+    return p.tags[e] in OUTSIDE and not (p.tags[e] == "header" and p.inside[e])
 
 
-def fit_weights(pages: DataFrame, most: int = SAMPLE_PAGES) -> Weights:
-    """Weights from pages that label their article themselves by one article or main element; defaults where none does.
+def _asides(p: Page) -> list[bool]:
+    out = []
+    for e, up in enumerate(p.parents):
+        out.append(up >= 0 and out[up] or _aside(p, e))
+    return out
+
+
+def _labelled(p: Page, at: int) -> bool:
+    return at >= 0 and (p.inside[at] or p.tags[at] in CONTENT)
 
-    About ``most`` such pages at most, chosen by hash of the url. A tag costs more the more it goes with words outside; class names whose
-    text is hardly ever inside set text off, others do not, even if they are in common use for what is no article.
+
+def _held(p: Page, counts: list[int], off: list[bool]) -> tuple[list[int], int]:
+    """Words that each element holds, those in elements ``off`` left out, and the words of the page."""
+    words, total = [0] * len(p.tags), 0
+    for (tag, _, at), n in zip(p.tokens, counts):
+        if tag is None and not (at >= 0 and off[at]):
+            total += n
+            if at >= 0:
+                words[at] += n
+    for e in range(len(p.tags) - 1, -1, -1):
+        if p.parents[e] >= 0:
+            words[p.parents[e]] += words[e]
+    return words, total
+
+
+def log_odds(p: Page, counts: list[int], weights: Weights) -> list[float]:
+    """Per token the log odds of its words.
+
+    Names add up along the open elements, each once. What class names take away does not count on html, body, main and article, nor on an element
+    that holds most of the page's words and its heads (h1, else article and main elements; without any, every element holds them).
+    Where article and main elements hold most of the words that are likely so far, words in them gain ARTICLE and those outside lose it.
     """
-    one = F.regexp_count(F.col("html"), F.lit(r"(?i)<(article|main)[\s>]")) == 1
-    known = pages.select("url", "html").where(F.col("html").isNotNull()).where(one)
-    n = known.count()
-    if n > most:
-        known = known.where(F.pmod(F.xxhash64("url", F.lit("pages")), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    found = known.select("html").mapInPandas(count_marks, "kind string, name string, inside long, outside long")
-    totals = found.groupBy("kind", "name").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
-    totals = totals.where("kind = 'all' OR i + o >= 20").orderBy(F.desc(F.col("i") + F.col("o")), "kind", "name").limit(5000).collect()
-    whole = next(((r["i"], r["o"]) for r in totals if r["kind"] == "all"), (0, 0))
-    out = Weights()
-    if not min(whole):
-        return out
-    for r in totals:
-        odds = np.log((r["i"] + 0.5) / (whole[0] + 1)) - np.log((r["o"] + 0.5) / (whole[1] + 1))
-        if r["kind"] == "tag":
-            out.tags[r["name"]] = -float(np.clip(0.3 - odds / 4, 0.1, 2.0))
-        elif r["kind"] == "mark":
-            (out.off if r["i"] < 0.02 * r["o"] else out.on).add(r["name"])
-    return out
+    aside = _asides(p)
+    words, total = _held(p, counts, aside)
+    heads = [e for e, t in enumerate(p.tags) if t == "h1" and not aside[e]] or [e for e, t in enumerate(p.tags) if t in CONTENT and not aside[e]]
+    heading = set()
+    for e in heads:
+        while e >= 0 and e not in heading:
+            heading.add(e)
+            e = p.parents[e]
+    odds, named = [], []
+    for e, up in enumerate(p.parents):
+        tag, rest = weights.of(p.tags[e]) if p.tags[e] in p.fresh[e] else 0.0, sum(weights.of(x) for x in p.fresh[e] if x[0] == ".")
+        if rest < 0 and (p.tags[e] in WHOLE or 2 * words[e] > total and (e in heading or not heads)):
+            rest = 0.0
+        above = odds[up] if up >= 0 else weights.bias
+        odds.append(above + tag + rest + (ASIDE if _aside(p, e) else 0.0))
+        named.append(odds[e] <= 0)
+    content = [p.inside[e] or t in CONTENT for e, t in enumerate(p.tags)]
+    likely, total = _held(p, counts, named)
+    within = sum(likely[e] for e, t in enumerate(p.tags) if t in CONTENT and not p.inside[e])
+    extra = [0.0, 0.0] if 2 * within <= total else [-ARTICLE, ARTICLE]
+    return [(odds[at] if at >= 0 else weights.bias) + extra[at >= 0 and content[at]] for _, _, at in p.tokens]
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -171,83 +210,154 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
-def layout(read: list[Token], weights: Weights) -> tuple[list[bool], list[bool] | None]:
-    """Whether each token is set off, and whether it lies in the page's labelled article (None: the page labels none).
-
-    A tag or name sets off what its element holds, but a name does not if the element holds most of the page's words and
-    the page's heads (h1, else article and main elements) do not all lie outside it. An article's own header counts as article. The first article or main element with most of the words that are not set off is the labelled one.
-    """
-    made: dict[int, Element] = {}
-    for t in read:
-        if t.element:
-            made.setdefault(id(t.element), t.element)
-    order = list(made)  # Parents come before what they hold.
-    up = {k: id(e.parent) if e.parent else None for k, e in made.items()}
-    off: dict[int | None, bool] = {None: False}
-    for k, e in made.items():
-        off[k] = off[up[k]] or e.tag in OUTSIDE and not (e.tag == "header" and e.inside)
-
-    def held() -> tuple[dict[int | None, int], int]:
-        words = dict.fromkeys([None, *order], 0)
-        for t in read:
-            k = id(t.element) if t.element else None
-            if not t.tag and not off[k]:
-                words[k] += len(t.text.split())
-        for k in reversed(order):
-            words[up[k]] += words[k]
-        return words, words[None]
-
-    heads = [k for k, e in made.items() if e.tag == "h1" and not off[k]] or [k for k, e in made.items() if e.tag in CONTENT and not off[k]]
-    heading = set() if heads else set(order)
-    for k in heads:
-        while k is not None and k not in heading:
-            heading.add(k)
-            k = up[k]
-    words, total = held()
-    for k, e in made.items():
-        off[k] = off[k] or off[up[k]] or (2 * words[k] <= total or k not in heading) and weights.sets_off(e)
-    words, total = held()
-    article = next((k for k, e in made.items() if e.tag in CONTENT and 2 * words[k] > total), None)
-    at = [id(t.element) if t.element else None for t in read]
-    if article is None:
-        return [off[k] for k in at], None
-    within = {None: False}
-    for k in order:
-        within[k] = k == article or within[up[k]]
-    return [off[k] for k in at], [within[k] for k in at]
+def chosen(p: Page, weights: Weights) -> tuple[int, int, np.ndarray]:
+    """Bounds of the best run of tokens and whether the words of each token are more likely the article's than not."""
+    counts = [0 if tag else len(text.split()) for tag, text, _ in p.tokens]
+    word = 2 * sigmoid(np.array(log_odds(p, counts, weights))) - 1
+    score = np.where(word < 0, weights.gap * word, word) * counts
+    scores = [weights.tags.get(t[0], weights.tag) if t[0] else s for t, s in zip(p.tokens, score.tolist())]
+    return *best_run(scores), word > 0
 
 
 def main_text(page: str | None, weights: Weights) -> str:
-    """Blocks of the best run, joined by two line feeds; text of elements set off within it is left out."""
-    read, scores = list(tokens(page or "")), []
-    apart, within = layout(read, weights)
-    outside = [within is not None and not w for w in within or apart]
-    for t, off, out in zip(read, apart, outside):
-        if t.tag:
-            scores.append(weights.tags.get(t.tag, weights.tag))
-        else:
-            n = len(t.text.split())
-            scores.append(n * (weights.outer if off or out else weights.word if within is None else 8 * weights.word))
-    start, end = best_run(scores)
+    """Blocks of the best run, joined by two line feeds; words in it whose own score is negative are left out."""
+    p = read_page(page or "")
+    start, end, wanted = chosen(p, weights)
     blocks, now = [], []
-    for t, off, out in zip(read[start:end], apart[start:end], outside[start:end]):
-        if t.tag and t.tag.lstrip("/") in BLOCKS:
+    for (tag, text, _), keep in zip(p.tokens[start:end], wanted[start:end].tolist()):
+        if tag is None:
+            if keep:
+                now.append(html.unescape(text))
+        elif tag.lstrip("/") in BLOCKS:
             blocks.append(now)
             now = []
-        elif t.tag == "br":
+        elif tag == "br":
             now.append(" ")
-        elif not t.tag and not off and not out:
-            now.append(html.unescape(t.text))
     cleaned = (" ".join("".join(b).split()) for b in [*blocks, now])
     return "\n\n".join(c for c in cleaned if c)
 
 
+def _sides(p: Page) -> Iterator[tuple[int, int, int]]:
+    """Tokens with words that no aside element holds: place, words and side (0 in the labelled article, else 1)."""
+    aside = _asides(p)
+    for i, (tag, text, at) in enumerate(p.tokens):
+        if tag is None and not (at >= 0 and aside[at]) and (n := len(text.split())):
+            yield i, n, 0 if _labelled(p, at) else 1
+
+
+def count_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words inside and outside the labelled article by every name around them, and tags by the side they stand on."""
+    for pdf in batches:
+        rows: dict[tuple[str, str], list[int]] = {}
+        for page in pdf["html"]:
+            p = read_page(page)
+            held = [[0, 0] for _ in p.tags]
+            for i, n, side in _sides(p):
+                rows.setdefault(("all", ""), [0, 0])[side] += n
+                if p.tokens[i][2] >= 0:
+                    held[p.tokens[i][2]][side] += n
+            for e in range(len(p.tags) - 1, -1, -1):
+                for side in (0, 1) if any(held[e]) else ():
+                    if p.parents[e] >= 0:
+                        held[p.parents[e]][side] += held[e][side]
+                    for name in p.fresh[e]:
+                        if name not in WHOLE:
+                            rows.setdefault(("name", name), [0, 0])[side] += held[e][side]
+            for tag, _, at in p.tokens:
+                if tag:
+                    rows.setdefault(("tag", tag), [0, 0])[0 if _labelled(p, at) else 1] += 1
+        yield pd.DataFrame([(*k, *v) for k, v in rows.items()], columns=["kind", "name", "inside", "outside"])
+
+
+def count_sets(names: list[str]):
+    """Words inside and outside by the set of ``names`` around them."""
+    place = {name: i for i, name in enumerate(names)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: dict[frozenset, list[int]] = {}
+            for page in pdf["html"]:
+                p, around = read_page(page), {-1: frozenset()}
+                for e, up in enumerate(p.parents):
+                    own = [place[x] for x in p.fresh[e] if x in place]
+                    around[e] = around[up].union(own) if own else around[up]
+                for i, n, side in _sides(p):
+                    rows.setdefault(around[p.tokens[i][2]], [0, 0])[side] += n
+            yield pd.DataFrame([(sorted(k), *v) for k, v in rows.items()], columns=["around", "inside", "outside"])
+
+    return run
+
+
+_LABEL = re.compile(r"</?(?:article|main)\b[^>]*>", re.I)
+
+
+def judge(tried: list[Weights]):
+    """Words of held-out pages that each of ``tried`` finds, wrongly takes and misses, with the label elements taken out of the page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for page in pdf["html"]:
+                labelled = read_page(page)
+                sides = {i: side for i, _, side in _sides(labelled)}
+                want = " ".join(t[1] for i, t in enumerate(labelled.tokens) if sides.get(i) == 0).split()
+                bare = read_page(_LABEL.sub("", page))
+                for k, w in enumerate(tried):
+                    start, end, wanted = chosen(bare, w)
+                    got = " ".join(text for (tag, text, _), keep in zip(bare.tokens[start:end], wanted[start:end]) if tag is None and keep).split()
+                    hit = (Counter(want) & Counter(got)).total()
+                    rows.append((k, hit, len(got) - hit, len(want) - hit))
+            yield pd.DataFrame(rows, columns=["tried", "hit", "wrong", "missed"])
+
+    return run
+
+
+def fit_weights(pages: DataFrame, most: int = SAMPLE_PAGES) -> Weights:
+    """Weights from pages that label their article themselves by one article or main element; defaults where none does.
+
+    About ``most`` such pages at most, chosen by hash of the url; of these a fifth is held out. A logistic regression of words on the names around them
+    (not on the label element) moves the listed names' weights and gives others one; words of aside elements teach nothing. A tag costs more the more it
+    stands outside. How much of a negative score counts, and whether tags cost as fitted or half, is what does best on the held-out pages without their label elements.
+    """
+    one = F.regexp_count(F.col("html"), F.lit(r"(?i)<(article|main)[\s>]")) == 1
+    known = pages.select("url", "html").where(F.col("html").isNotNull()).where(one)
+    n = known.count()
+    if n > most:
+        known = known.where(F.pmod(F.xxhash64("url", F.lit("pages")), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    held_out = F.pmod(F.xxhash64("url", F.lit("held out")), F.lit(5)) == 0
+    taught = known.where(~F.coalesce(held_out, F.lit(False))).select("html")
+    totals = taught.mapInPandas(count_names, "kind string, name string, inside long, outside long").groupBy("kind", "name").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
+    whole = totals.where("kind = 'all'").first()
+    out = Weights()
+    if whole is None or not min(whole["i"], whole["o"]):
+        return out
+    frequent = totals.where("kind <> 'all'").where(F.col("i") + F.col("o") >= LEAST_WORDS).orderBy(F.desc(F.col("i") + F.col("o")), "kind", "name").limit(FEATURE_NAMES).collect()
+    tags = [r for r in frequent if r["kind"] == "tag"]
+    inside, outside = sum(r["i"] for r in tags) + 1, sum(r["o"] for r in tags) + 1
+    for r in tags:
+        odds = np.log((r["i"] + 0.5) / inside) - np.log((r["o"] + 0.5) / outside)
+        out.tags[r["name"]] = -float(np.clip(0.3 - odds / 4, 0.1, 2.0))
+    names = sorted(r["name"] for r in frequent if r["kind"] == "name")
+    sets = taught.mapInPandas(count_sets(names), "around array<int>, inside long, outside long").groupBy("around").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).orderBy("around").collect()
+    x = np.zeros((len(sets), len(names)), np.float32)
+    for r, s in enumerate(sets):
+        x[r, s["around"]] = 1
+    prior = np.array([out.of(name) for name in names])
+    y = np.repeat([1.0, 0.0], len(sets))
+    share = np.array([s["i"] for s in sets] + [s["o"] for s in sets], float)
+    w, out.bias = fit_logistic(np.concatenate([x, x]), y, 0.01, counted=share, around=prior)
+    out.names = {name: float(v) for name, v in zip(names, w)}
+    tried = [replace(out, gap=gap, tags={t: c * cost for t, c in out.tags.items()}) for cost in (1.0, 0.5) for gap in (0.25, 0.5, 1.0)]
+    seen = known.where(held_out).select("html").mapInPandas(judge(tried), "tried int, hit long, wrong long, missed long").groupBy("tried").agg(F.sum("hit").alias("h"), F.sum("wrong").alias("w"), F.sum("missed").alias("m")).collect()
+    return tried[max(seen, key=lambda r: (2 * r["h"] / max(1, 2 * r["h"] + r["w"] + r["m"]), -r["tried"]))["tried"]] if seen else out
+
+
 def extract(pages: DataFrame, weights: Weights) -> DataFrame:
     """``page_id, url, text, n_chars`` (code points) of every page from its whole html.
 
-    Words score positive and tags negative; words of menus, adverts and the like score negative too. The run of tokens
-    with the largest sum is the article. Where an article or main element holds most
-    words that are not set off, only words in it score positive. Null, empty or wordless pages give an empty text. Repeated rows come out repeated. Other columns are ignored.
+    Words score positive and tags negative; names of menus, adverts and the like around words make their score negative. The run of tokens
+    with the largest sum is the article; words in it with a negative score are left out. Null, empty or wordless pages give an empty
+    text. Repeated rows come out repeated; no rows give no rows. Other columns are ignored.
     """
     small_batches(pages.sparkSession)
     cast = pages.sparkSession.sparkContext.broadcast(weights)
