@@ -5,24 +5,92 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweave.functions.masks import cleared
+from graphweave.operators.scratch import discard, written
+
 
 def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """``root, kind, key, depth, conf``: nodes within ``depth`` steps of each root.
 
     A path's confidence is its least edge's. States are kept per (root, node, depth) with the best confidence
-    at that depth, which is the Pareto frontier of confidence and length; one shuffle join and one partial
-    aggregation a step. Cycles end at the depth bound.
+    at that depth, which is the Pareto frontier of confidence and length; one join and one partial
+    aggregation a step. The edges and each front are written once. Cycles end at the depth bound, an empty front ends the walk.
     """
-    steps = edges.select(F.col("src_kind").alias("kind"), F.col("src").alias("key"), "dst_kind", "dst", F.col("conf").alias("step"))
-    front = roots.select("root", "kind", "key", F.lit(0).alias("depth"), F.lit(100).alias("conf"))
+    steps = written(edges.select(F.col("src_kind").alias("kind"), F.col("src").alias("key"), "dst_kind", "dst", F.col("conf").alias("step")), "edges")
+    front = written(roots.select("root", "kind", "key", F.lit(0).alias("depth"), F.lit(100).alias("conf")), "front")
     out = front
     for d in range(1, depth + 1):
         moved = front.join(steps, ["kind", "key"]).select("root", F.col("dst_kind").alias("kind"), F.col("dst").alias("key"), F.least("conf", "step").alias("conf"))
         front = moved.groupBy("root", "kind", "key").agg(F.max("conf").alias("conf")).select("root", "kind", "key", F.lit(d).alias("depth"), "conf")
+        front = written(front, "front")
+        if front.isEmpty():
+            break
         out = out.unionByName(front)
+    discard(steps)
     return out
 
 
+def taint_walk(edges: DataFrame, sources: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """``root, kind, key, mask, conf, depth``: what taint of each source arrives where, how surely and how near.
+
+    ``edges`` has ``src_kind, src, dst_kind, dst, conf, clears``; ``sources`` has ``root, kind, key, mask``. Along an edge the taint loses the
+    kinds in ``clears`` and the path's confidence is its least edge's. A state is kept unless one of no greater depth at the same node has all its
+    kinds and at least its confidence, so cycles end by themselves: kinds and confidences only fall. States without taint go no further.
+    The seen states are written round by round, and each round only the new ones move.
+    """
+    steps = written(edges.select(F.col("src_kind").alias("kind"), F.col("src").alias("key"), "dst_kind", "dst", F.col("conf").alias("step"), "clears"), "edges")
+    columns = ["root", "kind", "key", "mask", "conf", "depth"]
+    front = sources.where("mask <> 0").groupBy("root", "kind", "key", F.col("mask").cast("int").alias("mask")).agg(F.lit(100).alias("conf"))
+    front = written(front.withColumn("depth", F.lit(0)).select(*columns), "front")
+    seen = front
+    for d in range(1, most_rounds + 1):
+        moved = front.join(steps, ["kind", "key"]).select("root", F.col("dst_kind").alias("kind"), F.col("dst").alias("key"), cleared(F.col("mask"), F.col("clears")).alias("mask"), F.least("conf", "step").alias("conf"))
+        moved = written(moved.where("mask <> 0").groupBy("root", "kind", "key", "mask").agg(F.max("conf").alias("conf")), "moved")
+        known = seen.select("root", "kind", "key", "mask", "conf").union(moved)
+        s = known.toDF(*[f"s_{c}" for c in known.columns])
+        same = (moved["root"] == s["s_root"]) & (moved["kind"] == s["s_kind"]) & (moved["key"] == s["s_key"])
+        covers = (cleared(moved["mask"], s["s_mask"]) == 0) & (s["s_conf"] >= moved["conf"])
+        better = (moved["mask"] != s["s_mask"]) | (moved["conf"] != s["s_conf"])
+        # A state seen before covers an equal one; among the new ones only a truly better one does.
+        old = seen.toDF(*[f"s_{c}" for c in columns])
+        was = (moved["root"] == old["s_root"]) & (moved["kind"] == old["s_kind"]) & (moved["key"] == old["s_key"]) & (cleared(moved["mask"], old["s_mask"]) == 0) & (old["s_conf"] >= moved["conf"])
+        fresh = moved.join(old, was, "left_anti").join(s, same & covers & better, "left_anti")
+        front = written(fresh.withColumn("depth", F.lit(d)).select(*columns), "front")
+        discard(moved)
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    else:
+        raise RuntimeError(f"taint did not settle in {most_rounds} rounds")
+    discard(steps)
+    return seen
+
+
+def block_dataflow(flow: DataFrame, blocks: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """Forward may-analysis over blocks: ``method, block, entering, leaving`` taint masks.
+
+    ``flow`` has ``method, src, dst``; ``blocks`` has ``method, block, gen, kill``. What enters a block is the union (bit or) of what leaves the blocks before it;
+    what leaves is that without ``kill``, with ``gen``. Bits only grow, so rounds end after at most as many as there are bits and blocks on a
+    way; each round passes on only the bits that are new, and branches cost their edges, not their paths.
+    """
+    edges = written(flow.select("method", F.col("src").alias("block"), "dst"), "flow")
+    state = written(blocks.select("method", "block", "kill", F.lit(0).alias("entering"), F.col("gen").alias("leaving"), F.col("gen").alias("fresh")), "blocks")
+    for _ in range(most_rounds):
+        arrived = state.where("fresh <> 0").join(edges, ["method", "block"]).groupBy("method", F.col("dst").alias("block")).agg(F.bit_or("fresh").alias("arrived"))
+        joined = state.drop("fresh").join(arrived, ["method", "block"], "left")
+        entering = F.col("entering").bitwiseOR(F.coalesce("arrived", F.lit(0)))
+        passed = cleared(entering, F.col("kill"))
+        now = joined.select("method", "block", "kill", entering.alias("entering"), F.col("leaving").bitwiseOR(passed).alias("leaving"), cleared(passed, F.col("leaving")).alias("fresh"))
+        before, state = state, written(now, "blocks")
+        discard(before)
+        if state.where("fresh <> 0").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"masks did not settle in {most_rounds} rounds")
+    discard(edges)
+    return state.select("method", "block", "entering", "leaving")
+
+
 def best_paths(reached: DataFrame) -> DataFrame:
     """Per root and node the surest path, the shortest of equals: ``root, kind, key, conf, depth``."""
     best = F.max(F.struct("conf", (-F.col("depth")).alias("near"))).alias("b")

@@ -40,10 +40,9 @@ SELECT l_returnflag AS rule, l_partkey AS sink, l_orderkey AS entry, conf, n - 1
 def primary_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per rule and sink the surest path, then the shortest, then the least; the others are alternatives."""
     rows = _lines(spark, sf_dir)
-    order = [F.desc("conf"), *map(F.col, ["l_linenumber", "l_orderkey", "l_suppkey", "l_quantity", "l_linestatus"])]
-    n = rows.groupBy("l_returnflag", "l_partkey").agg((F.count("*") - 1).alias("alternatives"))
-    best = first_of(rows, ["l_returnflag", "l_partkey"], order)
-    return best.join(n, ["l_returnflag", "l_partkey"]).select(F.col("l_returnflag").alias("rule"), F.col("l_partkey").alias("sink"), F.col("l_orderkey").alias("entry"), "conf", "alternatives")
+    order = F.struct((-F.col("conf")).alias("doubt"), "l_linenumber", "l_orderkey", "l_suppkey", "l_quantity", "l_linestatus")
+    best = rows.groupBy("l_returnflag", "l_partkey").agg(F.min(order).alias("b"), (F.count("*") - 1).alias("alternatives"))
+    return best.select(F.col("l_returnflag").alias("rule"), F.col("l_partkey").alias("sink"), F.col("b.l_orderkey").alias("entry"), (-F.col("b.doubt")).alias("conf"), "alternatives")
 
 
 @registered("""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphweave.functions.identity import digest16
+from graphweave.functions.identity import digest16, node_id
 from graphweave.operators.ranking import first_of
 from graphweave.operators.traverse import best_paths, climb, reach
-from graphweave.sources.driver_tables import edges, nodes, table
+from graphweave.sources.driver_tables import edges, node_keys, nodes, table
 
 QUERIES, SQL = {}, {}
 
@@ -47,10 +47,10 @@ SELECT a.id AS src_id, b.id AS dst_id, e.kind, CAST(e.conf AS INTEGER) AS conf
 FROM e JOIN n a ON a.kind = e.src_kind AND a.key = e.src JOIN n b ON b.kind = e.dst_kind AND b.key = e.dst
 """)
 def graph_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
-    out = e.join(n.select(F.col("kind").alias("src_kind"), F.col("key").alias("src"), F.col("id").alias("src_id")), ["src_kind", "src"])
-    out = out.join(n.select(F.col("kind").alias("dst_kind"), F.col("key").alias("dst"), F.col("id").alias("dst_id")), ["dst_kind", "dst"])
-    return out.select("src_id", "dst_id", "kind", "conf")
+    """Edges whose ends are both declared. Ids are digests of kind and key, so they are computed in place; the joins only ask whether an end exists."""
+    n, e = node_keys(spark, sf_dir), edges(spark, sf_dir)
+    found = e.join(n.toDF("src_kind", "src"), ["src_kind", "src"], "left_semi").join(n.toDF("dst_kind", "dst"), ["dst_kind", "dst"], "left_semi")
+    return found.select(node_id(F.col("src_kind"), F.col("src")).alias("src_id"), node_id(F.col("dst_kind"), F.col("dst")).alias("dst_id"), "kind", "conf")
 
 
 @registered(f"""
@@ -59,7 +59,7 @@ SELECT e.kind, count(*) AS attempts, count(n.id) AS resolved, count(*) - count(n
 FROM e LEFT JOIN n ON n.kind = e.dst_kind AND n.key = e.dst GROUP BY e.kind
 """)
 def resolution_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir).select(F.col("kind").alias("dst_kind"), F.col("key").alias("dst"), "id")
+    n = node_keys(spark, sf_dir).distinct().select(F.col("kind").alias("dst_kind"), F.col("key").alias("dst"), F.lit(1).alias("id"))
     found = edges(spark, sf_dir).join(n, ["dst_kind", "dst"], "left")
     return found.groupBy("kind").agg(F.count("*").alias("attempts"), F.count("id").alias("resolved"), (F.count("*") - F.count("id")).alias("unresolved"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from graphweave.plans import findings, graph
+from graphweave.plans import controls, exports, findings, flows, graph, resolution
 
-QUERIES = graph.QUERIES | findings.QUERIES
-SQL = graph.SQL | findings.SQL
+QUERIES, SQL = {}, {}
+for plans in (graph, findings, flows, resolution, exports, controls):
+    QUERIES |= plans.QUERIES
+    SQL |= plans.SQL

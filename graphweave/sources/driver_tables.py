@@ -36,6 +36,15 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.distinct()
 
 
+def node_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``kind, key`` of every declared symbol, as often as it is declared."""
+    out = None
+    for kind, source, key, _ in NODE_TABLES:
+        rows = table(spark, sf_dir, source).select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("key"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``src_kind, src, dst_kind, dst, kind, conf``; several calls between the same two count by the surest."""
     nation, orders = table(spark, sf_dir, "nation"), table(spark, sf_dir, "orders")
