@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,53 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphweave.operators.scratch import discard, shared_folder, written
+
 #: The white space that separates words in every contract here.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
-_own_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a session in one process (local tests) uses a temporary folder of its own; a cluster
-    fails rather than write where other executors cannot read.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        _own_folders[app] = tempfile.mkdtemp(prefix="spark-graphweave-")
-    return _own_folders[app]
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet into the shared folder and read it again.
-
-    The files outlive lost executors. ``discard`` deletes them once what is made of them is written itself;
-    the tables that a result is read from stay, and whoever owns the shared folder clears those.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/graphweave-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._gw_path = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of ``written`` tables that nothing will read again."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._gw_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows for this session: whole texts travel to Python in them, and a worker holds one or two."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
