@@ -28,6 +28,27 @@ def _offered(own: DataFrame, aliases: DataFrame, uses: DataFrame, exclusions: Da
     return every.groupBy("type", "name").agg(F.min(F.struct("level", "owner", "original")).alias("d")).select("type", "name", "d.owner", "d.original", "d.level")
 
 
+def _climbed(asked: DataFrame, local: DataFrame, types: DataFrame, most_rounds: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What the nearest class upward that decides says for each ``asked`` (``type, name``), and the scratch tables that may go now. A cycle of parents ends."""
+    parents = written(types.where("kind = 'class'").groupBy(F.col("type").alias("at")).agg(F.first("parent", ignorenulls=True).alias("up")), "parents")
+    known = local.withColumnRenamed("type", "at")
+    found = [c for c in local.columns if c not in ("type", "name")]
+    front = written(asked.select("type", "name").distinct().withColumn("at", F.col("type")).withColumn("steps", F.lit(0)), "front")
+    done, seen = None, [front]
+    for step in range(most_rounds):
+        looked = front.join(known, ["at", "name"], "left")
+        ended = written(looked.where("level IS NOT NULL").select("type", "name", "steps", *found), "ended")
+        done = ended if done is None else done.unionByName(ended)
+        moved = looked.where("level IS NULL").join(parents, "at").where("up IS NOT NULL").select("type", "name", F.col("up").alias("at"), F.lit(step + 1).alias("steps"))
+        # A chain that comes back to where it was is a cycle and ends.
+        been = reduce(DataFrame.union, seen).select("type", "name", "at")
+        front = written(moved.join(been, ["type", "name", "at"], "left_anti"), "front")
+        seen.append(front)
+        if front.isEmpty():
+            break
+    return done, [*seen, parents]
+
+
 def resolve_methods(types: DataFrame, methods: DataFrame, uses: DataFrame, aliases: DataFrame, exclusions: DataFrame, asked: DataFrame, most_rounds: int = 64) -> DataFrame:
     """The declaration with a body that a call of each ``asked`` (``type, name``) runs: ``type, name, owner, original, steps, outcome``.
 
@@ -53,27 +74,38 @@ def resolve_methods(types: DataFrame, methods: DataFrame, uses: DataFrame, alias
             if same:
                 break
     local = written(_offered(own, aliases, uses, exclusions, offers), "local")
-    parents = written(types.where("kind = 'class'").groupBy(F.col("type").alias("at")).agg(F.first("parent", ignorenulls=True).alias("up")), "parents")
-    known = local.select(F.col("type").alias("at"), "name", "owner", "original", "level")
-    front = written(asked.select("type", "name").distinct().withColumn("at", F.col("type")).withColumn("steps", F.lit(0)), "front")
-    done, seen = None, [front]
-    for step in range(most_rounds):
-        looked = front.join(known, ["at", "name"], "left")
-        ended = written(looked.where("level IS NOT NULL").select("type", "name", "owner", "original", "steps", "level"), "ended")
-        done = ended if done is None else done.unionByName(ended)
-        moved = looked.where("level IS NULL").join(parents, "at").where("up IS NOT NULL").select("type", "name", F.col("up").alias("at"), F.lit(step + 1).alias("steps"))
-        # A chain that comes back to where it was is a cycle and ends.
-        been = reduce(DataFrame.union, seen).select("type", "name", "at")
-        front = written(moved.join(been, ["type", "name", "at"], "left_anti"), "front")
-        seen.append(front)
-        if front.isEmpty():
-            break
-    discard(*seen, offers, parents)
+    done, left = _climbed(asked, local, types, most_rounds)
+    discard(*left, offers)
     kind = F.when(F.col("level").isNull(), "unknown").when(F.col("owner").isNull(), F.when(F.col("level") == 3, "collision").otherwise("unknown")).when(F.col("steps") > 0, "inherited")
     kind = kind.when(F.col("level") == 1, "own").when(F.col("level") == 2, "alias").otherwise("trait")
     return asked.select("type", "name").distinct().join(done, ["type", "name"], "left").select("type", "name", "owner", "original", "steps", kind.alias("outcome"))
 
 
+def resolve_properties(types: DataFrame, properties: DataFrame, uses: DataFrame, asked: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """The declared type of each ``asked`` property (``type, name``): ``type, name, declared, owner, steps``; nulls where none is declared.
+
+    ``properties`` has ``owner, name, declared``; ``uses`` has ``type, trait, ord``. A type's own declaration comes first, then its traits in order (and theirs), then its
+    parent's. Of several own ones the least counts. Cycles end.
+    """
+    own = properties.groupBy(F.col("owner").alias("type"), "name").agg(F.min("declared").alias("declared")).withColumn("owner", F.col("type")).withColumn("level", F.lit(1))
+    own = written(own.select("type", "name", "declared", "owner", "level"), "own")
+    uses = written(uses.groupBy("type", "trait").agg(F.min("ord").alias("ord")), "uses")
+    local = own
+    for _ in range(most_rounds):
+        through = uses.join(local.select(F.col("type").alias("trait"), "name", "declared", "owner"), "trait")
+        first = through.groupBy("type", "name").agg(F.min(F.struct("ord", "trait", "declared", "owner")).alias("f"))
+        composed = first.join(own, ["type", "name"], "left_anti").select("type", "name", F.col("f.declared").alias("declared"), F.col("f.owner").alias("owner"), F.lit(2).alias("level"))
+        before, local = local, written(own.unionByName(composed), "properties")
+        settled = before.exceptAll(local).isEmpty() and local.exceptAll(before).isEmpty()
+        if before is not own:
+            discard(before)
+        if settled:
+            break
+    done, left = _climbed(asked, local, types, most_rounds)
+    discard(*left, own, uses)
+    return asked.select("type", "name").distinct().join(done, ["type", "name"], "left").select("type", "name", "declared", "owner", "steps")
+
+
 def resolve_names(names: DataFrame, imports: DataFrame, roots: DataFrame) -> DataFrame:
     """``name, fqn, by``: a name whose head is imported takes the import's meaning, else the longest root that it starts with, else itself.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +93,25 @@ def block_dataflow(flow: DataFrame, blocks: DataFrame, most_rounds: int = 1000)
     return state.select("method", "block", "entering", "leaving")
 
 
+def fold_tree(nodes: DataFrame) -> DataFrame:
+    """Masks of expression trees from the leaves up: ``tree, node, mask``.
+
+    ``nodes`` has ``tree, node, parent`` (null at the top) ``, depth`` (0 at the top) ``, own, clears``. A node's mask is the union of its own and its children's, less what it clears:
+    operators and unknown calls pass everything on, sanitizers and casts clear what they declare. One join and one partial aggregation a level.
+    """
+    held = written(nodes.select("tree", "node", "parent", "depth", "own", "clears"), "nodes")
+    deepest = held.agg(F.max("depth")).first()[0]
+    out, below = [], None
+    for d in range(deepest if deepest is not None else -1, -1, -1):
+        level = held.where(F.col("depth") == d)
+        if below is not None:
+            passed = below.groupBy("tree", F.col("parent").alias("node")).agg(F.bit_or("mask").alias("passed"))
+            level = level.join(passed, ["tree", "node"], "left").withColumn("own", F.col("own").bitwiseOR(F.coalesce("passed", F.lit(0))))
+        below = written(level.select("tree", "node", "parent", cleared(F.col("own"), F.col("clears")).alias("mask")), "level")
+        out.append(below.select("tree", "node", "mask"))
+    return reduce(DataFrame.unionByName, out) if out else held.select("tree", "node", F.col("own").alias("mask"))
+
+
 def best_paths(reached: DataFrame) -> DataFrame:
     """Per root and node the surest path, the shortest of equals: ``root, kind, key, conf, depth``."""
     best = F.max(F.struct("conf", (-F.col("depth")).alias("near"))).alias("b")

@@ -7,10 +7,10 @@ from graphweave.functions.controls import excluded, has_control, joined_uri, sin
 from graphweave.functions.masks import ALL, mask
 from graphweave.operators.evidence import assemble, ranked_paths
 from graphweave.operators.ranking import innermost
-from graphweave.operators.resolve import resolve_methods, resolve_names
+from graphweave.operators.resolve import resolve_methods, resolve_names, resolve_properties
 from graphweave.operators.scratch import numbered
 from graphweave.operators.store import Store, insert_if_absent, replace_part
-from graphweave.operators.traverse import block_dataflow, reach, taint_walk
+from graphweave.operators.traverse import block_dataflow, fold_tree, reach, taint_walk
 
 EDGES = "src_kind string, src long, dst_kind string, dst long, conf int, clears int"
 SOURCES = "root string, kind string, key long, mask int"
@@ -84,6 +84,27 @@ def test_methods_resolve_like_their_language(spark):
     assert [r["outcome"] for r in resolve_methods(**empty, asked=made(spark, [("A", "f")], "type string, name string")).collect()] == ["unknown"]
 
 
+def test_properties(spark):
+    """Own before traits in their order, these before the parent's; traits of traits count, cycles of traits and of parents end."""
+    types = [("A", "class", None), ("B", "class", "A"), ("C", "class", "D"), ("D", "class", "C"), ("T", "trait", None), ("U", "trait", None), ("V", "trait", None)]
+    properties = [("A", "repo", "Base"), ("U", "repo", "OfU"), ("V", "log", "OfV"), ("B", "own", "Z"), ("B", "own", "Y")]
+    uses = [("B", "T", 1), ("B", "U", 2), ("T", "V", 1), ("V", "T", 1), ("A", "T", 1)]
+    asked = [("B", "repo"), ("B", "log"), ("B", "own"), ("A", "repo"), ("C", "repo"), ("A", "none"), ("B", "repo")]
+    got = resolve_properties(made(spark, types, "type string, kind string, parent string"), made(spark, properties, "owner string, name string, declared string"), made(spark, uses, "type string, trait string, ord int"), made(spark, asked, "type string, name string"))
+    assert {(r["type"], r["name"]): (r["declared"], r["owner"], r["steps"]) for r in got.collect()} == {
+        ("B", "repo"): ("OfU", "U", 0), ("B", "log"): ("OfV", "V", 0), ("B", "own"): ("Y", "B", 0), ("A", "repo"): ("Base", "A", 0), ("C", "repo"): (None, None, None), ("A", "none"): (None, None, None),
+    }
+
+
+def test_expressions_fold_from_the_leaves(spark):
+    schema = "tree int, node string, parent string, depth int, own int, clears int"
+    # clean(a . b) . c, where clean clears sql
+    nodes = [(1, "top", None, 0, 0, 0), (1, "clean", "top", 1, 0, mask("sql")), (1, "c", "top", 1, mask("url"), 0), (1, "a", "clean", 2, mask("sql", "html"), 0), (1, "b", "clean", 2, mask("sql"), 0), (2, "top", None, 0, mask("sql"), mask("sql"))]
+    got = {(t, n): m for t, n, m in rows(fold_tree(made(spark, nodes, schema)))}
+    assert got[(1, "top")] == mask("html", "url") and got[(1, "clean")] == mask("html") and got[(1, "a")] == mask("sql", "html") and got[(2, "top")] == 0
+    assert fold_tree(made(spark, [], schema)).count() == 0
+
+
 def test_names(spark):
     names = made(spark, [("f", "Log\\Entry"), ("f", "App\\Http\\X"), ("f", "Other"), ("g", "Log\\Entry"), ("g", "Log\\Entry")], "file string, name string")
     imports = made(spark, [("f", "Log", "Vendor\\Log")], "file string, alias string, meant string")
@@ -150,9 +171,9 @@ def test_numbered(spark):
 
 
 def test_innermost(spark):
-    spans = made(spark, [("f", 1, 0, 10), ("f", 2, 4, 6), ("f", 3, 4, 6)], "file string, span_id int, start int, stop int")
-    points = made(spark, [("f", 5), ("f", 11), ("g", 5)], "file string, line int")
-    assert {(r["file"], r["line"]): r["span_id"] for r in innermost(points, spans, "file", "line").collect()} == {("f", 5): 2, ("f", 11): None, ("g", 5): None}
+    spans = made(spark, [("f", 1, 0, 10), ("f", 2, 4, 6), ("f", 3, 4, 6), ("f", 7, 0, 700), ("f", 8, 100, 300)], "file string, span_id int, start int, stop int")
+    points = made(spark, [("f", 5), ("f", 11), ("f", 250), ("f", 701), ("g", 5)], "file string, line int")
+    assert {(r["file"], r["line"]): r["span_id"] for r in innermost(points, spans, "file", "line").collect()} == {("f", 5): 2, ("f", 11): 7, ("f", 250): 8, ("f", 701): None, ("g", 5): None}
 
 
 def test_predicates(spark):
