@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.llm.common import running_sum, word_count, written
@@ -12,27 +12,27 @@ MOST_REPEATS = 3
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """Per source: ``source, source_size, target``; works on the totals, one row per source.
+    """Per source: ``source, source_size, target, base`` (the words of the sources before it).
 
     Sources in code point order (null last) take the weights in turn. All sizes together are shared
     by weight; a target stops at ``most`` times its source's size and the excess is shared again by
     weight. That ends with one level L for which min(weight x L, cap) add up to the whole: sorted by
-    cap / weight, the sources before some rank are full and L follows from two running sums.
+    cap / weight, the sources before some rank are full and L follows from two running sums. Running sums go over ranges of sources and
+    the whole is one row, so sources may be many (hosts).
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (turn % len(weights) + 1).cast("int"))
-    rows = totals.select("source", "source_size", weight.cast("long").alias("w"), (F.col("source_size") * most).alias("cap"))
-    fullness = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = fullness.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    weight_left = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))
-    rows = rows.withColumn("level", left.cast("double") / weight_left.cast("double"))
-    fits = F.col("level") * F.col("w") <= F.col("cap")
-    rows = rows.select("*", F.when(fits, F.struct((-F.row_number().over(fullness)).alias("r"), F.col("level"))).alias("fit"))
-    rows = rows.withColumn("settled", F.max("fit").over(everything)["level"])
-    return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("settled") * F.col("w"), F.col("cap").cast("double"))).alias("target"))
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("last", F.col("source").isNull()).withColumn("one", F.lit(1).cast("long"))
+    placed = running_sum(totals, ["last", "source"], ["one", "source_size"], ["place", "upto"])
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    rows = placed.select("source", "last", "source_size", (F.col("upto") - F.col("source_size")).alias("base"), weight.cast("long").alias("w"), (F.col("source_size") * most).alias("cap"))
+    rows = running_sum(rows.withColumn("fullness", F.col("cap") / F.col("w")), ["fullness", "last", "source"], ["cap", "w"], ["cap_upto", "w_upto"])
+    rows = written(rows, "sources")
+    whole = rows.agg(F.sum("source_size").alias("words"), F.sum("w").alias("weights"))
+    left = F.col("words") - (F.col("cap_upto") - F.col("cap"))
+    level = left.cast("double") / (F.col("weights") - (F.col("w_upto") - F.col("w"))).cast("double")
+    fits = rows.crossJoin(F.broadcast(whole)).withColumn("level", level).where(F.col("level") * F.col("w") <= F.col("cap"))
+    settled = fits.agg(F.min(F.struct("fullness", "last", "source", "level")).alias("s")).select(F.col("s.level").alias("settled"))
+    cap = F.col("cap").cast("double")
+    return rows.crossJoin(F.broadcast(settled)).select("source", "source_size", F.least(cap, F.coalesce(F.col("settled") * F.col("w"), cap)).alias("target"), "base")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: str = "mix") -> DataFrame:
@@ -55,8 +55,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     rows = sizes.groupBy("source", "shuffled", "doc_id", "size").agg(F.count("*").alias("rows")).withColumn("words", F.col("size") * F.col("rows"))
     targets = written(source_targets(sizes, weights, most), "targets")
     summed = running_sum(rows.withColumn("last", F.col("source").isNull()), ["last", "source", "shuffled", "doc_id", "size"], "words", "upto")
-    earlier = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    bases = targets.select(F.col("source").alias("s"), "source_size", "target", F.coalesce(F.sum("source_size").over(earlier), F.lit(0)).alias("base"))
+    bases = targets.select(F.col("source").alias("s"), "source_size", "target", "base")
     queued = summed.join(bases, summed["source"].eqNullSafe(bases["s"])).drop("s", "last").withColumn("upto", F.col("upto") - F.col("base"))
     rounds = F.least(F.lit(most), F.coalesce(F.ceil(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(1))).cast("int")
     some = queued.where(F.col("size") > 0).withColumn("round", F.explode(F.sequence(F.lit(0), F.greatest(rounds, F.lit(1)) - 1)))
