@@ -14,7 +14,7 @@ from graphweave.llm.common import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go; it is fitted on ``documents`` and ``labels``."""
+    """Documents that the classifier chain rejects go; it is fitted on ``documents`` and ``labels``. Null and empty texts stay, and without labels all do."""
     return toxicity.score(docs, toxicity.fit_on_tables(spark, sf_dir)).where(~F.col("rejected")).select(*docs.columns)
 
 
@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, with the digests of ids and of the bytes they decode to."""
+    """Token ids of every document of the mix, with the digests of ids and of the bytes they decode to. Null text counts as empty: no ids."""
     path, pattern = bpe.tokenizer()
     decoded = bpe.decode(bpe.encode(docs, path, pattern), path)
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
