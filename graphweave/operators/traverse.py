@@ -48,15 +48,13 @@ def taint_walk(edges: DataFrame, sources: DataFrame, most_rounds: int = 1000) ->
     for d in range(1, most_rounds + 1):
         moved = front.join(steps, ["kind", "key"]).select("root", F.col("dst_kind").alias("kind"), F.col("dst").alias("key"), cleared(F.col("mask"), F.col("clears")).alias("mask"), F.least("conf", "step").alias("conf"))
         moved = written(moved.where("mask <> 0").groupBy("root", "kind", "key", "mask").agg(F.max("conf").alias("conf")), "moved")
-        known = seen.select("root", "kind", "key", "mask", "conf").union(moved)
+        known = seen.select(*columns[:5], F.lit(True).alias("old")).union(moved.select(*columns[:5], F.lit(False).alias("old")))
         s = known.toDF(*[f"s_{c}" for c in known.columns])
         same = (moved["root"] == s["s_root"]) & (moved["kind"] == s["s_kind"]) & (moved["key"] == s["s_key"])
         covers = (cleared(moved["mask"], s["s_mask"]) == 0) & (s["s_conf"] >= moved["conf"])
-        better = (moved["mask"] != s["s_mask"]) | (moved["conf"] != s["s_conf"])
         # A state seen before covers an equal one; among the new ones only a truly better one does.
-        old = seen.toDF(*[f"s_{c}" for c in columns])
-        was = (moved["root"] == old["s_root"]) & (moved["kind"] == old["s_kind"]) & (moved["key"] == old["s_key"]) & (cleared(moved["mask"], old["s_mask"]) == 0) & (old["s_conf"] >= moved["conf"])
-        fresh = moved.join(old, was, "left_anti").join(s, same & covers & better, "left_anti")
+        better = (moved["mask"] != s["s_mask"]) | (moved["conf"] != s["s_conf"])
+        fresh = moved.join(s, same & covers & (s["s_old"] | better), "left_anti")
         front = written(fresh.withColumn("depth", F.lit(d)).select(*columns), "front")
         discard(moved)
         if front.isEmpty():

