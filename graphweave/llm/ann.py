@@ -11,13 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import shuffle_partitions, written
+from graphweave.llm.common import batches_of, discard, shuffle_partitions, written
 
 #: Bound of the fit: vectors sampled for the codebooks.
 SAMPLE_VECTORS = 8192
 BOOKS, WORDS, BEAM = 8, 256, 8
 #: Vectors per index block, queries per query block, candidates per query and block that are scored exactly.
 BLOCK_ROWS, QUERY_ROWS, RERANKED = 4096, 256, 192
+#: Pairs of blocks that travel to a Python worker at once.
+PAIRS_AT_ONCE = 32
 
 
 @dataclass
@@ -185,8 +187,10 @@ def _neighbours(rows: DataFrame, asked: DataFrame, dim: int, k: int, reranked: i
     index = written(rows.repartition(max(1, min(parts, -(-n // BLOCK_ROWS)))).mapInPandas(_blocks(dim, BLOCK_ROWS, quantiser), layout), "index")
     asked = asked.mapInPandas(_blocks(dim, QUERY_ROWS, None), layout)
     asked = written(asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "queries")
-    pairs = index.crossJoin(asked).repartition(parts)
-    found = pairs.mapInPandas(_search(dim, quantiser, k, reranked), "query_id long, vec_id long, score double")
+    # Blocks meet where the index lies; only the k best of each pair of blocks go on.
+    with batches_of(spark, PAIRS_AT_ONCE):
+        found = written(index.crossJoin(asked).mapInPandas(_search(dim, quantiser, k, reranked), "query_id long, vec_id long, score double"), "found")
+    discard(index, asked)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
