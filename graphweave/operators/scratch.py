@@ -52,16 +52,33 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, order: list, out: str = "place") -> DataFrame:
-    """Add ``out``, each row's number from 1 in a total order given as columns or names.
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    Rows are range-sorted and written once with their range's number; the ranges' counts (one row per range) give each range its
-    base, so no task sees more than a range.
+
+def running_sum(df: DataFrame, order: list[str], value: str | list[str], out: str | list[str]) -> DataFrame:
+    """Add ``out``, the sum of ``value`` over all rows up to and with this one in the order given; with lists, several sums at once.
+
+    Rows are range-sorted and written once with their range's number; the ranges' totals (one row
+    per range, as many as shuffle partitions) give each range its base, so no task sees more than a
+    range. ``order`` should be total; rows equal in it are told apart arbitrarily but consistently,
+    which only matters if they differ elsewhere. Nulls in ``value`` count 0.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "numbered")
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    sums = list(zip([value], [out])) if isinstance(value, str) else list(zip(value, out))
+    n = shuffle_partitions(df.sparkSession)
+    ranged = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    ranged = written(ranged, "ranges")
+    counted = lambda v: F.sum(F.coalesce(F.col(v), F.lit(0)))
+    totals = ranged.groupBy("_range").agg(*[counted(v).alias(f"_total_{o}") for v, o in sums])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_range").orderBy(*order)
-    return ranged.join(F.broadcast(bases), "_range").withColumn(out, F.col("_base") + F.row_number().over(within)).drop("_range", "_base")
+    bases = totals.select("_range", *[F.coalesce(F.sum(f"_total_{o}").over(before), F.lit(0)).alias(f"_base_{o}") for _, o in sums])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.join(F.broadcast(bases), "_range")
+    for v, o in sums:
+        summed = summed.withColumn(o, F.col(f"_base_{o}") + counted(v).over(within))
+    return summed.drop("_range", *[f"_base_{o}" for _, o in sums])
+
+
+def numbered(df: DataFrame, order: list[str], out: str = "place") -> DataFrame:
+    """Add ``out``, each row's number from 1 in a total order; no task sees more than a range of the rows."""
+    return running_sum(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", out).drop("_one")
