@@ -1,4 +1,4 @@
-"""Helpers that several corpus operators share: scratch tables, global running sums, components."""
+"""Helpers that several corpus operators share: batch sizes, bucketed tables, components."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweave.operators.scratch import discard, shared_folder, written
+# The operators here take the library's scratch tables and running sums from this module as well.
+from graphweave.operators.scratch import discard, running_sum, shared_folder, shuffle_partitions, written  # noqa: F401
 
 #: The white space that separates words in every contract here.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
@@ -55,33 +56,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def running_sum(df: DataFrame, order: list[str], value: str | list[str], out: str | list[str]) -> DataFrame:
-    """Add ``out``, the sum of ``value`` over all rows up to and with this one in the order given; with lists, several sums at once.
-
-    Rows are range-sorted and written once with their range's number; the ranges' totals (one row
-    per range, as many as shuffle partitions) give each range its base, so no task sees more than a
-    range. ``order`` should be total; rows equal in it are told apart arbitrarily but consistently,
-    which only matters if they differ elsewhere. Nulls in ``value`` count 0.
-    """
-    sums = list(zip([value], [out])) if isinstance(value, str) else list(zip(value, out))
-    n = shuffle_partitions(df.sparkSession)
-    ranged = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
-    ranged = written(ranged, "ranges")
-    counted = lambda v: F.sum(F.coalesce(F.col(v), F.lit(0)))
-    totals = ranged.groupBy("_range").agg(*[counted(v).alias(f"_total_{o}") for v, o in sums])
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_range", *[F.coalesce(F.sum(f"_total_{o}").over(before), F.lit(0)).alias(f"_base_{o}") for _, o in sums])
-    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.join(F.broadcast(bases), "_range")
-    for v, o in sums:
-        summed = summed.withColumn(o, F.col(f"_base_{o}") + counted(v).over(within))
-    return summed.drop("_range", *[f"_base_{o}" for _, o in sums])
-
-
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Label the nodes of an undirected graph with the least node of their component.
 
