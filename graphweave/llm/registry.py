@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphweave.llm import ann, bpe, html_text, langid, line_dedup, media, mixing, sharding, simhash, toxicity
+from graphweave.llm import ann, bpe, clustering, html_text, langid, line_dedup, media, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_additive_quantisation": ann.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_hilbert_shards": sharding.query,
     "op9_line_windows": line_dedup.query,
     "op10_toxicity_chain": toxicity.query,
+    "op12_rotated_centroids": clustering.query,
 }
 
-SQL = {"op7_fair_mix": mixing.SQL, "op9_line_windows": line_dedup.SQL}
+SQL = {"op7_fair_mix": mixing.SQL, "op9_line_windows": line_dedup.SQL, "op12_rotated_centroids": clustering.SQL}
