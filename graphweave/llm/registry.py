@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphweave.llm import ann, bpe, clustering, html_text, langid, line_dedup, media, mixing, sharding, simhash, toxicity
+from graphweave.llm import ann, bpe, clustering, html_text, langid, lexical, line_dedup, media, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_additive_quantisation": ann.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_windows": line_dedup.query,
     "op10_toxicity_chain": toxicity.query,
     "op12_rotated_centroids": clustering.query,
+    "op13_pair_maxscore": lexical.query,
 }
 
-SQL = {"op7_fair_mix": mixing.SQL, "op9_line_windows": line_dedup.SQL, "op12_rotated_centroids": clustering.SQL}
+SQL = {"op7_fair_mix": mixing.SQL, "op9_line_windows": line_dedup.SQL, "op12_rotated_centroids": clustering.SQL, "op13_pair_maxscore": lexical.SQL}
