@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import batches_of, discard, running_sum, slices, small_batches, written
+from graphweave.llm.common import batches_of, discard, running_sum, slices, written
 
 #: Documents of an index block, and of the runs in it that bounds are kept for.
 BLOCK_DOCS, RUN_DOCS = 8192, 64
@@ -300,7 +300,6 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     Null and empty texts have no terms: such documents are found by nothing and do not count, such items find nothing. Repeated document rows are documents each.
     Of an item_id with several texts the least counts. No documents or items give no rows. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     doc_kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (items, "item_id")))
     once = items.groupBy("item_id").agg(F.min("text").alias("text")).where(F.col("text").isNotNull()).withColumn("bytes", F.octet_length("text").cast("long"))
     if once.isEmpty():
@@ -310,7 +309,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     for p in sorted(r["pass"] for r in placed.select("pass").distinct().collect()):
         asked = placed.where(F.col("pass") == p).orderBy("item_id").select("item_id", F.col("text").cast("binary").alias("text")).collect()
         words = vocabulary([(r["item_id"], bytes(r["text"])) for r in asked])
-        index = written(postings(docs, words), "postings")
+        with batches_of(docs.sparkSession, 256):
+            index = written(postings(docs, words), "postings")
         stats = statistics(index, len(words.numbers))
         pairs = sorted({tuple(sorted(g)) for _, query in words.queries for g in paired(query, stats.weights) if len(g) == 2})
         with batches_of(docs.sparkSession, 1024):

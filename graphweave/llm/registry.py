@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphweave.llm import ann, bpe, clustering, html_text, langid, lexical, line_dedup, media, mixing, sharding, simhash, toxicity
+from graphweave.llm import ann, bpe, clustering, html_text, langid, lexical, line_dedup, media, mixing, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_additive_quantisation": ann.query,
@@ -15,8 +15,15 @@ QUERIES = {
     "op8_hilbert_shards": sharding.query,
     "op9_line_windows": line_dedup.query,
     "op10_toxicity_chain": toxicity.query,
+    "op11_warc_index": warc.query,
     "op12_rotated_centroids": clustering.query,
     "op13_pair_maxscore": lexical.query,
 }
 
-SQL = {"op7_fair_mix": mixing.SQL, "op9_line_windows": line_dedup.SQL, "op12_rotated_centroids": clustering.SQL, "op13_pair_maxscore": lexical.SQL}
+SQL = {
+    "op7_fair_mix": mixing.SQL,
+    "op9_line_windows": line_dedup.SQL,
+    "op11_warc_index": warc.SQL,
+    "op12_rotated_centroids": clustering.SQL,
+    "op13_pair_maxscore": lexical.SQL,
+}
