@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ LEAST_WORDS = 20
 FEATURE_NAMES = 2000
 #: How far a listed name, an element that holds no article, and the page's own article element move a word's log odds before any fit.
 LISTED, ASIDE, ARTICLE = -4.0, -8.0, 4.0
+#: What links that make up most of their block take from their words' log odds; words that an article must keep beside its listed elements.
+LINKS, LEAST_LEFT = -5.0, 10
 
 # Element names of HTML and class words in common use for what is no article.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section table tbody td tfoot th thead title tr ul".split())
@@ -29,23 +32,33 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style noscript template textarea title iframe svg math".split())
 OUTSIDE = set("nav footer aside form script style noscript template head title iframe svg math select button textarea menu dialog header object".split())
 BOILERPLATE = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead topbar toolbar cookie cookies consent notice gdpr popup modal newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist respond replies reply disqus discussion pagination pager copyright legal disclaimer widget skip hidden".split())
+# Parts of longer names that say what an element is, words beside which headers and the like belong to the article, and words that tell of another element.
+NOUNS = BOILERPLATE - set("ad banner header footer masthead legal hidden skip notice login copyright share sharing social related".split())
+LOOSE = set("ad banner header footer masthead legal notice login copyright share sharing social related".split())
+TEXTUAL = set("article post entry content story main body text page title section".split())
+ABOUT = set("no has with without open closed free is".split())
 CONTENT = {"article", "main"}
 WHOLE = CONTENT | {"html", "body"}
 
 # A quote opens a value only right after the equals sign, as in the HTML standard. Atomic groups keep the match linear.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?<![^\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_LETTER = re.compile(r"[^\W_]")
+_PARTS = re.compile(r"[^-_:.]+")
 _CLOSES_P = BLOCKS - {"body", "html", "head", "title", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _LISTS = {"ul", "ol", "menu"}
 
 
 @dataclass
 class Page:
-    """Tokens (``tag`` or None, ``text``, ``at``: the innermost open element or -1) and elements, parents first.
+    """Tokens (``tag`` or None, ``text``, ``at``: the innermost open element or -1) with their ``counts`` of words, and elements, parents first.
 
     An element has its tag, its class, id and role names that no element around it has, its parent, and whether an article or main element is around it.
+    ``linked`` tells the tokens in links that hold more than half of their block's own words. What scripts, styles and the like hold is no text and has no token.
     """
 
+    counts: list[int] = field(default_factory=list)
+    linked: list[bool] = field(default_factory=list)
     tokens: list[tuple[str | None, str, int]] = field(default_factory=list)
     tags: list[str] = field(default_factory=list)
     fresh: list[list[str]] = field(default_factory=list)
@@ -106,8 +119,6 @@ def read_page(page: str) -> Page:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             stop = end.start() if end else n
-            if page[at:stop]:
-                out.tokens.append((None, page[at:stop], e))
             at = end.end() if end else n
             out.tokens.append(("/" + tag, "", up))
         elif tag not in VOID and not attributes.endswith("/"):
@@ -118,9 +129,40 @@ def read_page(page: str) -> Page:
             for name in names:
                 held[name] = held.get(name, 0) + 1
             stack.append(e)
+    out.counts = [0 if tag else len(text.split()) for tag, text, _ in out.tokens]
+    out.linked = _linked(out)
     return out
 
 
+def _linked(p: Page) -> list[bool]:
+    """Text in links, and separators between them, in blocks most of whose own words are in links."""
+    block, link = [], []
+    for e, up in enumerate(p.parents):
+        block.append(e if p.tags[e] in BLOCKS else block[up] if up >= 0 else -1)
+        link.append(p.tags[e] == "a" or up >= 0 and link[up])
+    own: dict[int, list[int]] = {}
+    places = [(block[at], link[at]) if at >= 0 else (-1, False) for _, _, at in p.tokens]
+    for (of, within), n in zip(places, p.counts):
+        if n:
+            own.setdefault(of, [0, 0])[within] += n
+    mostly = {of for of, (plain, linked) in own.items() if linked > plain}
+    return [n > 0 and of in mostly and (within or not _LETTER.search(text)) for (_, text, _), (of, within), n in zip(p.tokens, places, p.counts)]
+
+
+@lru_cache(10_000)
+def listed(name: str) -> bool:
+    """Whether a class, id or role name is in common use for what is no article: a whole listed word, or a compound that has one as a part.
+
+    Headers, footers and the like of an article, post or entry are none, nor are names that tell whether another element is there (``has-sidebar``).
+    """
+    if name in BOILERPLATE:
+        return True
+    parts = _PARTS.findall(name)
+    if len(parts) < 2 or not ABOUT.isdisjoint(parts):
+        return False
+    return not NOUNS.isdisjoint(parts) or not LOOSE.isdisjoint(parts) and TEXTUAL.isdisjoint(parts)
+
+
 @dataclass
 class Weights:
     """Log odds that a word belongs to the article: ``bias`` and what each name (a tag, or ``.`` and a class) around it adds. A word scores
@@ -134,8 +176,7 @@ class Weights:
     on: set[str] = field(default_factory=set)
 
     def of(self, name: str) -> float:
-        prior = LISTED if name[1:] in BOILERPLATE and name[0] == "." and name not in self.on else 0.0
-        return self.names.get(name, prior)
+        return self.names.get(name, LISTED if name[0] == "." and name not in self.on and listed(name[1:]) else 0.0)
 
 
 def _aside(p: Page, e: int) -> bool:
@@ -154,11 +195,11 @@ def _labelled(p: Page, at: int) -> bool:
     return at >= 0 and (p.inside[at] or p.tags[at] in CONTENT)
 
 
-def _held(p: Page, counts: list[int], off: list[bool]) -> tuple[list[int], int]:
+def _held(p: Page, off: list[bool]) -> tuple[list[int], int]:
     """Words that each element holds, those in elements ``off`` left out, and the words of the page."""
     words, total = [0] * len(p.tags), 0
-    for (tag, _, at), n in zip(p.tokens, counts):
-        if tag is None and not (at >= 0 and off[at]):
+    for (_, _, at), n in zip(p.tokens, p.counts):
+        if n and not (at >= 0 and off[at]):
             total += n
             if at >= 0:
                 words[at] += n
@@ -168,34 +209,76 @@ def _held(p: Page, counts: list[int], off: list[bool]) -> tuple[list[int], int]:
     return words, total
 
 
-def log_odds(p: Page, counts: list[int], weights: Weights) -> list[float]:
-    """Per token the log odds of its words.
+def _own_head(p: Page, e: int, name: str) -> bool:
+    """Whether a header's name stands in an article, whose own it is."""
+    return p.inside[e] and name in (".header", ".masthead")
+
+
+def _set_off(p: Page, aside: list[bool], weights: Weights) -> list[float]:
+    """Per element the least that its class names, and those of the elements around it, leave its words; 0 where they set nothing off.
 
-    Names add up along the open elements, each once. What class names take away does not count on html, body, main and article, nor on an element
-    that holds most of the page's words and its heads (h1, else article and main elements; without any, every element holds them).
-    Where article and main elements hold most of the words that are likely so far, words in them gain ARTICLE and those outside lose it.
+    A name is passed over on html, body, main and article, and on an element that holds most of the page's words and its heads (h1, else article and main
+    elements; without any, every element holds them). So are those in an article that would be left with fewer than LEAST_LEFT words.
     """
-    aside = _asides(p)
-    words, total = _held(p, counts, aside)
+    words, total = _held(p, aside)
     heads = [e for e, t in enumerate(p.tags) if t == "h1" and not aside[e]] or [e for e, t in enumerate(p.tags) if t in CONTENT and not aside[e]]
     heading = set()
     for e in heads:
         while e >= 0 and e not in heading:
             heading.add(e)
             e = p.parents[e]
-    odds, named = [], []
+    own, top, inner, article = [], [], [], []
     for e, up in enumerate(p.parents):
-        tag, rest = weights.of(p.tags[e]) if p.tags[e] in p.fresh[e] else 0.0, sum(weights.of(x) for x in p.fresh[e] if x[0] == ".")
+        rest = sum(weights.of(x) for x in p.fresh[e] if x[0] == "." and not _own_head(p, e, x))
         if rest < 0 and (p.tags[e] in WHOLE or 2 * words[e] > total and (e in heading or not heads)):
             rest = 0.0
-        above = odds[up] if up >= 0 else weights.bias
-        odds.append(above + tag + rest + (ASIDE if _aside(p, e) else 0.0))
-        named.append(odds[e] <= 0)
+        own.append(rest)
+        article.append(article[up] if up >= 0 and article[up] >= 0 else e if p.tags[e] in CONTENT else -1)
+        inner.append(up >= 0 and (inner[up] or top[up]))
+        top.append(rest <= LISTED / 2 and not inner[e])
+    lost: dict[int, int] = {}
+    for e, first in enumerate(top):
+        if first and article[e] >= 0:
+            lost[article[e]] = lost.get(article[e], 0) + words[e]
+    spared = {a for a, n in lost.items() if words[a] - n < LEAST_LEFT}
+    return [0.0 if r <= LISTED / 2 and article[e] in spared else r for e, r in enumerate(own)]
+
+
+def log_odds(p: Page, weights: Weights) -> tuple[list[float], list[bool], list[bool]]:
+    """Per token the log odds of its words, whether it stands in an element that labels the article, and whether it is set off there.
+
+    Names add up along the open elements, each once. Elements that hold no article by their meaning or by a listed name set their words off: these have at most
+    ASIDE or LISTED, whatever stands around them, and nothing in them counts for them. Outside such elements, links that make up their block lose LINKS. Where article and main elements hold most of
+    the words that are likely so far, other words in them gain ARTICLE and those outside lose it.
+    """
+    aside = _asides(p)
+    own = _set_off(p, aside, weights)
+    odds, off = [], []
+    for e, up in enumerate(p.parents):
+        more = own[e] + sum(weights.of(x) for x in p.fresh[e] if x == p.tags[e])
+        within = up >= 0 and off[up]
+        value = (odds[up] if up >= 0 else weights.bias) + (min(more, 0.0) if within else more)
+        if _aside(p, e):
+            value = min(value, ASIDE)
+        elif own[e] <= LISTED / 2:
+            value = min(value, LISTED)
+        odds.append(value)
+        off.append(within or _aside(p, e) or own[e] <= LISTED / 2)
     content = [p.inside[e] or t in CONTENT for e, t in enumerate(p.tags)]
-    likely, total = _held(p, counts, named)
+    likely, total = _held(p, [o <= 0 for o in odds])
     within = sum(likely[e] for e, t in enumerate(p.tags) if t in CONTENT and not p.inside[e])
-    extra = [0.0, 0.0] if 2 * within <= total else [-ARTICLE, ARTICLE]
-    return [(odds[at] if at >= 0 else weights.bias) + extra[at >= 0 and content[at]] for _, _, at in p.tokens]
+    labelled = 2 * within > total
+    out, inside, set_off = [], [], []
+    for (_, _, at), linked in zip(p.tokens, p.linked):
+        value = odds[at] if at >= 0 else weights.bias
+        if labelled and at >= 0 and content[at] and not off[at]:
+            value += ARTICLE
+        else:
+            value += linked * LINKS - (ARTICLE if labelled and not (at >= 0 and content[at]) else 0.0)
+        out.append(value)
+        inside.append(labelled and at >= 0 and content[at])
+        set_off.append(inside[-1] and off[at])
+    return out, inside, set_off
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -211,11 +294,12 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 
 def chosen(p: Page, weights: Weights) -> tuple[int, int, np.ndarray]:
-    """Bounds of the best run of tokens and whether the words of each token are more likely the article's than not."""
-    counts = [0 if tag else len(text.split()) for tag, text, _ in p.tokens]
-    word = 2 * sigmoid(np.array(log_odds(p, counts, weights))) - 1
-    score = np.where(word < 0, weights.gap * word, word) * counts
-    scores = [weights.tags.get(t[0], weights.tag) if t[0] else s for t, s in zip(p.tokens, score.tolist())]
+    """Bounds of the best run of tokens and whether the words of each token are more likely the article's than not. In an element that labels the article a tag costs no more than an unknown one, and what is set off there costs nothing."""
+    odds, inside, set_off = log_odds(p, weights)
+    word = 2 * sigmoid(np.array(odds)) - 1
+    score = np.where(word < 0, weights.gap * word, word) * p.counts
+    cost = [weights.tags.get(tag, weights.tag) if tag else 0.0 for tag, _, _ in p.tokens]
+    scores = [0.0 if off else s + (max(c, weights.tag) if known else c) for s, c, known, off in zip(score.tolist(), cost, inside, set_off)]
     return *best_run(scores), word > 0
 
 
@@ -238,10 +322,13 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 
 def _sides(p: Page) -> Iterator[tuple[int, int, int]]:
-    """Tokens with words that no aside element holds: place, words and side (0 in the labelled article, else 1)."""
-    aside = _asides(p)
-    for i, (tag, text, at) in enumerate(p.tokens):
-        if tag is None and not (at >= 0 and aside[at]) and (n := len(text.split())):
+    """Tokens with words that no aside element holds, nor one with a listed name inside the labelled article: place, words and side (0 in the article, else 1)."""
+    off = []
+    for e, up in enumerate(p.parents):
+        named = p.inside[e] and p.tags[e] not in WHOLE and any(x[0] == "." and listed(x[1:]) and not _own_head(p, e, x) for x in p.fresh[e])
+        off.append(up >= 0 and off[up] or _aside(p, e) or named)
+    for i, ((_, _, at), n) in enumerate(zip(p.tokens, p.counts)):
+        if n and not (at >= 0 and off[at]):
             yield i, n, 0 if _labelled(p, at) else 1
 
 
