@@ -32,31 +32,37 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return out
 
 
-def taint_walk(edges: DataFrame, sources: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def taint_walk(edges: DataFrame, sources: DataFrame, most_rounds: int = 1000, trace: bool = False) -> DataFrame:
     """``root, kind, key, mask, conf, depth``: what taint of each source arrives where, how surely and how near.
 
     ``edges`` has ``src_kind, src, dst_kind, dst, conf, clears``; ``sources`` has ``root, kind, key, mask``. Along an edge the taint loses the
     kinds in ``clears`` and the path's confidence is its least edge's. A state is kept unless one of no greater depth at the same node has all its
     kinds and at least its confidence, so cycles end by themselves: kinds and confidences only fall. States without taint go no further.
-    The seen states are written round by round, and each round only the new ones move.
+    The seen states are written round by round, and each round only the new ones move. A round is one join of the moving states and one grouping by
+    node, in which a node's states meet as arrays; these hold only states of which none covers another.
+
+    With ``trace`` every state has ``prev`` too, the state it came from (null at a source): a struct of ``doubt`` (confidence, negative), ``kind``, ``key`` and ``less``
+    (mask, negative), of several possible ones the least. See ``rebuilt``.
     """
     steps = written(edges.select(F.col("src_kind").alias("kind"), F.col("src").alias("key"), "dst_kind", "dst", F.col("conf").alias("step"), "clears"), "edges")
-    columns = ["root", "kind", "key", "mask", "conf", "depth"]
-    front = sources.where("mask <> 0").groupBy("root", "kind", "key", F.col("mask").cast("int").alias("mask")).agg(F.lit(100).alias("conf"))
-    front = written(front.withColumn("depth", F.lit(0)).select(*columns), "front")
+    node, columns = ["root", "kind", "key"], ["root", "kind", "key", "mask", "conf", "depth", *(["prev"] if trace else [])]
+    before = F.struct((-F.col("conf")).alias("doubt"), "kind", "key", (-F.col("mask")).alias("less"))
+    front = sources.where("mask <> 0").groupBy("root", "kind", "key", F.col("mask").cast("int").alias("mask")).agg(F.lit(100).alias("conf")).withColumn("depth", F.lit(0))
+    front = written(front.withColumn("prev", F.when(F.lit(False), before)).select(*columns), "front")
     seen = front
     for d in range(1, most_rounds + 1):
-        moved = front.join(steps, ["kind", "key"]).select("root", F.col("dst_kind").alias("kind"), F.col("dst").alias("key"), cleared(F.col("mask"), F.col("clears")).alias("mask"), F.least("conf", "step").alias("conf"))
-        moved = written(moved.where("mask <> 0").groupBy("root", "kind", "key", "mask").agg(F.max("conf").alias("conf")), "moved")
-        known = seen.select(*columns[:5], F.lit(True).alias("old")).union(moved.select(*columns[:5], F.lit(False).alias("old")))
-        s = known.toDF(*[f"s_{c}" for c in known.columns])
-        same = (moved["root"] == s["s_root"]) & (moved["kind"] == s["s_kind"]) & (moved["key"] == s["s_key"])
-        covers = (cleared(moved["mask"], s["s_mask"]) == 0) & (s["s_conf"] >= moved["conf"])
+        moved = front.join(steps, ["kind", "key"])
+        moved = moved.select("root", F.col("dst_kind").alias("kind"), F.col("dst").alias("key"), cleared(F.col("mask"), F.col("clears")).alias("mask"), F.least("conf", "step").alias("conf"), before.alias("prev"))
+        best = moved.where("mask <> 0").groupBy(*node, "mask").agg(F.min(F.struct((-F.col("conf")).alias("doubt"), *(["prev"] if trace else []))).alias("b"))
+        new = F.struct("mask", (-F.col("b.doubt")).alias("conf"), *([F.col("b.prev").alias("prev")] if trace else []))
+        arrived = best.select(*node, F.lit(None).cast("struct<mask:int,conf:int>").alias("old"), new.alias("new"))
+        kept = seen.select(*node, F.struct("mask", "conf").alias("old"), F.lit(None).cast(arrived.schema["new"].dataType).alias("new"))
+        met = kept.union(arrived).groupBy(*node).agg(F.collect_list("old").alias("olds"), F.collect_list("new").alias("news")).where(F.size("news") > 0)
+        covers = lambda o, n: (cleared(n["mask"], o["mask"]) == 0) & (o["conf"] >= n["conf"])
         # A state seen before covers an equal one; among the new ones only a truly better one does.
-        better = (moved["mask"] != s["s_mask"]) | (moved["conf"] != s["s_conf"])
-        fresh = moved.join(s, same & covers & (s["s_old"] | better), "left_anti")
-        front = written(fresh.withColumn("depth", F.lit(d)).select(*columns), "front")
-        discard(moved)
+        truly = lambda o, n: covers(o, n) & ((o["mask"] != n["mask"]) | (o["conf"] != n["conf"]))
+        fresh = F.filter("news", lambda n: ~F.exists("olds", lambda o: covers(o, n)) & ~F.exists("news", lambda o: truly(o, n)))
+        front = written(met.select(*node, F.explode(fresh).alias("n")).select(*node, "n.*").withColumn("depth", F.lit(d)).select(*columns), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -66,6 +72,27 @@ def taint_walk(edges: DataFrame, sources: DataFrame, most_rounds: int = 1000) ->
     return seen
 
 
+def rebuilt(states: DataFrame, winners: DataFrame) -> DataFrame:
+    """``winners`` (rows of a traced walk's ``states``, with any further columns) with ``steps``: the states from the source to the winner, in order, as structs of kind, key, mask and conf.
+
+    Backward joins follow the pointers of the winners only, one round a step; a pointer names a state, which is unique by root, node, mask and confidence. Depth falls with every step, so this ends.
+    """
+    rest = [c for c in winners.columns if c != "prev"]
+    here = lambda kind, key, mask, conf: F.struct(F.col(kind).alias("kind"), F.col(key).alias("key"), mask.alias("mask"), conf.alias("conf"))
+    way = written(winners.select(*rest, "prev", F.array(here("kind", "key", F.col("mask"), F.col("conf"))).alias("steps")), "ways")
+    back = states.select(F.col("root").alias("_root"), F.col("kind").alias("_kind"), F.col("key").alias("_key"), F.col("mask").alias("_mask"), F.col("conf").alias("_conf"), F.col("prev").alias("_prev"))
+    done = None
+    while True:
+        ended = way.where("prev IS NULL").drop("prev")
+        done = ended if done is None else done.unionByName(ended)
+        left = way.where("prev IS NOT NULL")
+        if left.isEmpty():
+            return done
+        same = (F.col("root") == F.col("_root")) & (F.col("prev.kind") == F.col("_kind")) & (F.col("prev.key") == F.col("_key")) & (F.col("prev.less") == -F.col("_mask")) & (F.col("prev.doubt") == -F.col("_conf"))
+        longer = F.concat(F.array(here("prev.kind", "prev.key", -F.col("prev.less"), -F.col("prev.doubt"))), "steps")
+        way = written(left.join(back, same).select(*rest, F.col("_prev").alias("prev"), longer.alias("steps")), "ways")
+
+
 def block_dataflow(flow: DataFrame, blocks: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """Forward may-analysis over blocks: ``method, block, entering, leaving`` taint masks.
 
