@@ -16,6 +16,12 @@ def glob_pattern(glob: str) -> str:
     return "^(?s:" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob) + ")$"
 
 
+def glob_column(glob: Column) -> Column:
+    """As ``glob_pattern``, for a column of globs: every character but letters, digits and the two wildcards is escaped."""
+    escaped = F.regexp_replace(glob, r"([^\p{L}\p{N}*?])", r"\\$1")
+    return F.concat(F.lit("^(?s:"), F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit(")$"))
+
+
 def severity_name(rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, SEVERITIES)), F.greatest(F.lit(0), F.least(F.lit(len(SEVERITIES) - 1), rank)).cast("int") + 1)
 

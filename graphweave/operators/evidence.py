@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.functions.identity import digest16
-from graphweave.functions.patterns import severity_name
+from graphweave.functions.patterns import glob_column, severity_name
 
 
 def path_text(steps: Column) -> Column:
@@ -29,20 +29,49 @@ def ranked_paths(paths: DataFrame) -> DataFrame:
     return first.select("rule", "file", "line", "p.order", "p.steps")
 
 
-def assemble(ranked: DataFrame, rules: DataFrame, suppressed: DataFrame, baseline: DataFrame, unsure_under: int = 50) -> DataFrame:
+#: Entry kinds that a step's field ``entry`` names.
+CONSOLE, HTTP, UNAUTHENTICATED = "console", "http", "unauthenticated"
+
+
+def _entry_kinds(ranked: DataFrame) -> tuple[Column, Column, Column]:
+    """Whether a path begins at an entry point, at one over HTTP, at an unauthenticated one: by the field ``entry`` of its steps where they have it, else by the note."""
+    entry = F.element_at("steps", 1)
+    is_entry = entry["role"] == "entry"
+    if "entry" in ranked.schema["steps"].dataType.elementType.names:
+        kind = F.coalesce(entry["entry"], F.lit(""))
+        return is_entry & (kind != ""), is_entry & kind.isin(HTTP, UNAUTHENTICATED), is_entry & (kind == UNAUTHENTICATED)
+    note = F.coalesce(entry["note"], F.lit(""))
+    return is_entry & note.endswith("entry point"), is_entry & note.startswith("HTTP"), is_entry & note.contains("unauthenticated")
+
+
+def without_globs(findings: DataFrame, globs: DataFrame, as_of: Column) -> DataFrame:
+    """``findings`` less those that a suppression of their rule covers: ``globs`` (few, from a configuration) has ``rule, pattern, expires``; one without expiry, or not yet past it on the day ``as_of``, counts."""
+    active = globs.where(F.col("expires").isNull() | (as_of <= F.col("expires"))).select(F.col("rule").alias("_rule"), glob_column(F.col("pattern")).alias("_regex"))
+    covers = (F.col("rule") == F.col("_rule")) & F.rlike(F.coalesce("file", F.lit("")), F.col("_regex"))
+    return findings.join(active, covers, "left_anti")
+
+
+def bare_ignores(bare: DataFrame, rule: str, severity: int) -> DataFrame:
+    """Findings (as ``assemble`` gives them) of ignore comments that name no rule: ``bare`` has ``file, line, snippet``; nothing suppresses them."""
+    step = F.struct(F.lit("entry").alias("role"), "file", "line", "snippet")
+    return bare.select(
+        digest16(F.lit(rule), F.col("file"), F.col("line"), path_text(F.array(step))).alias("id"), digest16(F.lit(rule), F.col("file"), F.concat(F.lit("entry:"), F.coalesce("snippet", F.lit("")))).alias("fingerprint"), F.lit(rule).alias("rule"), "file", "line",
+        severity_name(F.lit(severity)).alias("severity"), F.lit(False).alias("needs_review"), F.lit(100).alias("confidence"), F.lit(0).cast("long").alias("alternatives"), F.array(step).alias("steps"),
+    ).distinct()
+
+
+def assemble(ranked: DataFrame, rules: DataFrame, suppressed: DataFrame, baseline: DataFrame, unsure_under: int = 50, globs: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
     """One finding per rule and sink: ``id, fingerprint, rule, file, line, severity, needs_review, confidence, alternatives, steps`` (the primary path).
 
     In this order: unknown rules go; taint findings rise a step if an entry is unauthenticated HTTP, else fall one if there are entries and none is HTTP; the first path in order
     is primary; findings whose sink lies in ``vendor/`` go; a step less sure than ``unsure_under`` on the primary path takes a step more and asks for review; findings suppressed on
-    the line above (``suppressed``: ``file, rule, line``) go, then those whose fingerprint is in ``baseline``.
+    the line above (``suppressed``: ``file, rule, line``) go, then those that ``globs`` cover on the day ``as_of`` (see ``without_globs``), then those whose fingerprint is in ``baseline``.
     ``rules`` has ``rule, kind`` (taint or structural) ``, rank``. Only sums, flags and the least path of a group meet in one task, never its paths.
     """
-    entry = F.element_at("steps", 1)
-    is_entry = entry["role"] == "entry"
-    note = F.coalesce(entry["note"], F.lit(""))
+    has_entry, has_http, unauthenticated = _entry_kinds(ranked)
     flags = ranked.groupBy("rule", "file", "line").agg(
-        F.bool_or(is_entry & note.endswith("entry point")).alias("has_entry"), F.bool_or(is_entry & note.startswith("HTTP")).alias("has_http"),
-        F.bool_or(is_entry & note.contains("unauthenticated")).alias("open"), (F.count("*") - 1).alias("alternatives"), F.min(F.struct("order", "steps")).alias("p"),
+        F.bool_or(has_entry).alias("has_entry"), F.bool_or(has_http).alias("has_http"), F.bool_or(unauthenticated).alias("open"),
+        (F.count("*") - 1).alias("alternatives"), F.min(F.struct("order", "steps")).alias("p"),
     )
     known = flags.join(rules, "rule").where(~F.coalesce(F.col("file").contains("vendor/"), F.lit(False)))
     taint = F.col("kind") == "taint"
@@ -57,4 +86,7 @@ def assemble(ranked: DataFrame, rules: DataFrame, suppressed: DataFrame, baselin
         (-F.col("p.order.doubt")).cast("int").alias("confidence"), "alternatives", steps.alias("steps"),
     )
     above = suppressed.select("file", "rule", (F.col("line") + 1).alias("line")).distinct()
-    return shown.join(above, ["file", "rule", "line"], "left_anti").join(baseline.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    shown = shown.join(above, ["file", "rule", "line"], "left_anti")
+    if globs is not None:
+        shown = without_globs(shown, globs, F.current_date() if as_of is None else as_of)
+    return shown.join(baseline.select("fingerprint").distinct(), "fingerprint", "left_anti")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphweave.plans import calls, controls, exports, findings, flows, graph, resolution
+from graphweave.plans import calls, controls, exports, findings, flows, graph, resolution, walks
 
 QUERIES, SQL = {}, {}
-for plans in (graph, findings, flows, resolution, exports, controls, calls):
+for plans in (graph, findings, flows, resolution, exports, controls, calls, walks):
     QUERIES |= plans.QUERIES
     SQL |= plans.SQL

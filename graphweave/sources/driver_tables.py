@@ -59,3 +59,23 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = declared.unionByName(edge(customer, "nation", "c_nationkey", "customer", "c_custkey", "DECLARES"))
     declared = declared.unionByName(edge(supplier, "nation", "s_nationkey", "supplier", "s_suppkey", "DECLARES"))
     return declared.unionByName(edge(orders, "customer", "o_custkey", "order", "o_orderkey", "HANDLES")).unionByName(calls)
+
+
+def part_calls(spark: SparkSession, sf_dir: str, back: float = 0.05) -> DataFrame:
+    """``src, dst, conf``: parts that call each other, a graph with cycles. A returned line with a discount of 0.09 or more calls the part of the next line of its order;
+    where its tax is ``back`` or more, that part calls back. Several calls between two parts count by the surest (50 and the quantity)."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    first = line.where((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09))
+    second = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
+    calls = first.join(second, ["l_orderkey", "l_linenumber"]).where("l_partkey != dst").select(F.col("l_partkey").alias("src"), "dst", (50 + F.col("l_quantity")).cast("int").alias("conf"), "l_tax")
+    every = calls.select("src", "dst", "conf").union(calls.where(F.col("l_tax") >= back).select("dst", "src", "conf"))
+    return every.groupBy("src", "dst").agg(F.max("conf").alias("conf"))
+
+
+def part_calls_sql(back: float = 0.05) -> str:
+    """The same in SQL."""
+    return f"""
+SELECT src, dst, max(conf) AS conf FROM (
+  SELECT CASE WHEN turn THEN b.l_partkey ELSE a.l_partkey END AS src, CASE WHEN turn THEN a.l_partkey ELSE b.l_partkey END AS dst, CAST(50 + a.l_quantity AS INTEGER) AS conf
+  FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1, (VALUES (false), (true)) AS t(turn)
+  WHERE a.l_returnflag = 'R' AND a.l_discount >= 0.09 AND a.l_partkey <> b.l_partkey AND (NOT turn OR a.l_tax >= {back})) GROUP BY src, dst"""
