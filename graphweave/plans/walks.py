@@ -12,6 +12,7 @@ from graphweave.operators import graphs
 from graphweave.operators.evidence import assemble, bare_ignores, path_text, ranked_paths
 from graphweave.operators.scratch import shared_folder, written
 from graphweave.operators.store import Store
+from graphweave.operators.summaries import RESULT, RETURN, SINK, parameter_facts, stored_taint, summaries
 from graphweave.operators.traverse import rebuilt, taint_walk
 from graphweave.plans.flows import _PRIORITIES, _SEGMENTS, _SINKS, values
 from graphweave.sources.driver_tables import part_calls, part_calls_sql, table
@@ -178,3 +179,69 @@ def surest_call_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three surest simple paths from the roots of the call graph to every part: by least confidence, then length, then text."""
     roots = table(spark, sf_dir, "part").where(_ROOTS).select(F.col("p_partkey").alias("node"))
     return graphs.surest_paths(part_calls(spark, sf_dir, _BACK), roots, 3)
+
+
+_BRANDS = f"brand(brand, rule, bit) AS (VALUES {values(_SINKS)})"
+
+
+@registered(f"""
+WITH RECURSIVE {_BRANDS}, p AS MATERIALIZED (SELECT p_partkey AS node, p_size, bit FROM part JOIN brand ON brand = p_brand), bits AS (SELECT 1 << CAST(unnest(range(0, 12)) AS INTEGER) AS b),
+c AS MATERIALIZED (SELECT src, dst, CASE WHEN dst % 7 = 0 THEN {ALL & ~mask('html', 'sql')} ELSE {ALL} END AS first_keeps, CASE WHEN src % 3 = 0 THEN {ALL & ~mask('shell')} ELSE {ALL} END AS keeps FROM ({part_calls_sql()})),
+r AS (SELECT node, 0 AS param, b FROM p, bits WHERE p_size % 2 = 0
+  UNION SELECT c.src, (r.param + c.dst) % 2, r.b FROM r JOIN c ON c.dst = r.node WHERE c.keeps & r.b <> 0 AND ((r.param + c.dst) % 2 = 1 OR c.first_keeps & r.b <> 0)),
+s AS (SELECT node, p_size % 4 AS param, bit AS b FROM p WHERE p_size % 4 < 2
+  UNION SELECT c.src, (s.param + c.dst) % 2, s.b FROM s JOIN c ON c.dst = s.node WHERE (s.param + c.dst) % 2 = 1 OR c.first_keeps & s.b <> 0),
+m AS (SELECT node, 'r' AS what, param, b FROM r UNION ALL SELECT node, 's', param, b FROM s),
+g AS (SELECT node, bit_or(CASE WHEN what = 'r' AND param = 0 THEN b ELSE 0 END) AS r0, bit_or(CASE WHEN what = 'r' AND param = 1 THEN b ELSE 0 END) AS r1,
+  bit_or(CASE WHEN what = 's' AND param = 0 THEN b ELSE 0 END) AS s0, bit_or(CASE WHEN what = 's' AND param = 1 THEN b ELSE 0 END) AS s1 FROM m GROUP BY node)
+SELECT p_partkey AS symbol, CAST(coalesce(r0, 0) AS INTEGER) AS return_0, CAST(coalesce(r1, 0) AS INTEGER) AS return_1, CAST(coalesce(s0, 0) AS INTEGER) AS sink_0, CAST(coalesce(s1, 0) AS INTEGER) AS sink_1 FROM part LEFT JOIN g ON node = p_partkey
+""")
+def parameter_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every part does with its two parameters: the kinds that come back, and those that reach sinks in it or in what it calls, also where parts call each other in circles.
+
+    A call passes both parameters on, exchanged where the callee's number is odd; the first loses kinds on the way to some callees, results lose one on the way back from others.
+    """
+    p = table(spark, sf_dir, "part").join(F.broadcast(spark.createDataFrame(_SINKS, "p_brand string, rule string, bit int")), "p_brand").select(F.col("p_partkey").alias("symbol"), "p_size", "bit")
+    c = written(part_calls(spark, sf_dir).select(F.col("src").alias("symbol"), F.col("dst").cast("string").alias("site"), F.col("dst").alias("callee")), "calls")
+
+    def flow(df: DataFrame, src_site, src_pos, dst_site, dst_pos, keeps) -> DataFrame:
+        return df.select("symbol", src_site.alias("src_site"), src_pos.cast("int").alias("src_pos"), dst_site.alias("dst_site"), dst_pos.cast("int").alias("dst_pos"), keeps.cast("int").alias("keeps"))
+
+    own, first = F.lit(""), F.when(F.expr("callee % 7 = 0"), ALL & ~mask("html", "sql")).otherwise(ALL)
+    flows = flow(p.where("p_size % 2 = 0"), own, F.lit(0), own, F.lit(RETURN), F.lit(ALL))
+    flows = flows.unionByName(flow(p.where("p_size % 4 < 2"), own, F.col("p_size") % 4, own, F.lit(SINK), F.col("bit")))
+    flows = flows.unionByName(flow(c, own, F.lit(0), F.col("site"), F.col("callee") % 2, first)).unionByName(flow(c, own, F.lit(1), F.col("site"), (F.col("callee") + 1) % 2, F.lit(ALL)))
+    flows = flows.unionByName(flow(c, F.col("site"), F.lit(RESULT), own, F.lit(RETURN), F.when(F.expr("symbol % 3 = 0"), ALL & ~mask("shell")).otherwise(ALL)))
+    found = summaries(parameter_facts(flows, c))
+    at = lambda column, i: F.coalesce(F.get(column, i), F.lit(0))
+    rows = p.select("symbol").join(found, "symbol", "left")
+    return rows.select("symbol", at("returns", 0).alias("return_0"), at("returns", 1).alias("return_1"), at("sinks", 0).alias("sink_0"), at("sinks", 1).alias("sink_1"))
+
+
+@registered(f"""
+WITH RECURSIVE seg(s, clears) AS (VALUES {values(_SEGMENTS)}), pri(p, clears) AS (VALUES {values(_PRIORITIES)}), bits AS (SELECT 1 << CAST(unnest(range(0, 12)) AS INTEGER) AS b),
+e AS MATERIALIZED (SELECT 'customer' AS src_kind, CAST(o_custkey AS BIGINT) AS src, 'order' AS dst_kind, CAST(o_orderkey AS BIGINT) AS dst, pri.clears FROM orders JOIN pri ON p = o_orderpriority
+  UNION ALL SELECT DISTINCT 'order', l_orderkey, 'part', l_partkey, CASE l_returnflag WHEN 'A' THEN {mask('path')} ELSE 0 END FROM lineitem),
+io AS MATERIALIZED (SELECT 'part' AS src_kind, CAST(p_partkey AS BIGINT) AS src, 'column' AS dst_kind, CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS dst, {ALL & mask('sql', 'shell', 'url', 'log', 'code')} AS keeps FROM part WHERE p_size % 10 = 3
+  UNION ALL SELECT 'column', CAST(c_custkey % 40 AS BIGINT), 'customer', c_custkey, {ALL} FROM customer WHERE c_custkey % 40 BETWEEN 11 AND 25 AND c_custkey % 3 = 0),
+start AS (SELECT 'customer' AS kind, CAST(c_custkey AS BIGINT) AS key, b FROM customer JOIN seg ON s = c_mktsegment, bits WHERE c_custkey % 50 = 7 AND ({ALL} & ~clears) & b <> 0),
+d AS (SELECT * FROM start UNION SELECT e.dst_kind, e.dst, d.b FROM d JOIN e ON e.src_kind = d.kind AND e.src = d.key WHERE e.clears & d.b = 0),
+w AS (SELECT * FROM start UNION SELECT x.dst_kind, x.dst, w.b FROM w JOIN (SELECT src_kind, src, dst_kind, dst, {ALL} & ~clears AS keeps FROM e UNION ALL SELECT * FROM io) x ON x.src_kind = w.kind AND x.src = w.key WHERE x.keeps & w.b <> 0)
+SELECT w.kind, w.key, CAST(coalesce(any_value(g.direct), 0) AS INTEGER) AS direct, CAST(bit_or(w.b) AS INTEGER) AS mask FROM w LEFT JOIN (SELECT kind, key, bit_or(b) AS direct FROM d GROUP BY kind, key) g ON g.kind = w.kind AND g.key = w.key
+WHERE w.kind <> 'column' GROUP BY w.kind, w.key
+""")
+def second_order_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Taint that some customers bring to orders and parts, and what comes back of it: some parts write to the column of their brand, which other customers read. Kinds by the first walk, and by all."""
+    lit = lambda v: F.lit(v).cast("int")
+    segments, priorities = spark.createDataFrame(_SEGMENTS, "c_mktsegment string, clears int"), spark.createDataFrame(_PRIORITIES, "o_orderpriority string, clears int")
+    names = ["src_kind", "src", "dst_kind", "dst", "conf", "clears"]
+    o = table(spark, sf_dir, "orders").join(F.broadcast(priorities), "o_orderpriority").select(F.lit("customer"), F.col("o_custkey").cast("long"), F.lit("order"), F.col("o_orderkey").cast("long"), lit(100), "clears").toDF(*names)
+    calls = table(spark, sf_dir, "lineitem").select(F.lit("order"), "l_orderkey", F.lit("part"), "l_partkey", lit(100), F.when(F.col("l_returnflag") == "A", mask("path")).otherwise(0)).toDF(*names).distinct()
+    customers, parts = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
+    sources = customers.where("c_custkey % 50 = 7").join(F.broadcast(segments), "c_mktsegment")
+    sources = sources.select(F.lit("input").alias("root"), F.lit("customer").alias("kind"), F.col("c_custkey").cast("long").alias("key"), F.lit(ALL).bitwiseAND(F.bitwise_not("clears")).alias("mask"))
+    writes = parts.where("p_size % 10 = 3").select(F.lit("part").alias("kind"), F.col("p_partkey").cast("long").alias("key"), F.regexp_replace("p_brand", "Brand#", "").alias("column"), F.lit(mask("sql", "shell", "url", "log", "code")).alias("keeps"))
+    reads = customers.where("c_custkey % 40 BETWEEN 11 AND 25 AND c_custkey % 3 = 0").select(F.expr("CAST(c_custkey % 40 AS STRING)").alias("column"), F.lit("customer").alias("kind"), F.col("c_custkey").cast("long").alias("key"))
+    states = stored_taint(o.unionByName(calls), sources, writes, reads)
+    first = F.bit_or(F.when(F.col("generation") == 1, F.col("mask")).otherwise(0))
+    return states.groupBy("kind", "key").agg(first.alias("direct"), F.bit_or("mask").alias("mask"))
