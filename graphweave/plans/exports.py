@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphweave.functions.identity import digest16, node_id
 from graphweave.operators.ranking import first_of
 from graphweave.operators.scratch import numbered, shared_folder
-from graphweave.operators.store import Store, insert_if_absent, ordered, replace_part
+from graphweave.operators.store import Store, insert_if_absent, ordered
 from graphweave.plans.graph import _EDGES, _NODES
 from graphweave.sources.driver_tables import edges, nodes, table
 
@@ -72,16 +72,16 @@ SELECT 'node' AS section, id AS a, kind AS b, CAST(key AS VARCHAR) AS c, first_s
 UNION ALL SELECT 'edge', src_id, dst_id, kind, CASE WHEN kind = 'CALLS' THEN conf - 1 ELSE conf END FROM e
 """)
 def stored_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two scans stored and read back: nodes are inserted if absent and keep the scan that saw them first, edges of a kind are replaced as a whole.
+    """Two scans stored and read back: nodes are inserted if absent and keep the scan that saw them first, edges are stored in parts by kind, and the second scan writes only the kinds it replaces.
 
     The first scan sees no orders and no edges of theirs but CALLS; the second sees everything, with calls less sure by one.
     """
     store = Store(spark, f"{shared_folder(spark)}/graphweave-store-{uuid.uuid4().hex}")
     n, e = nodes(spark, sf_dir).drop("name"), _edge_ids(edges(spark, sf_dir))
-    store.commit(nodes=insert_if_absent(None, n.where("kind <> 'order'").withColumn("first_scan", F.lit(1)), ["id"], ["kind", "key"]), edges=e.where("kind <> 'HANDLES'"))
+    store.commit(nodes=insert_if_absent(None, n.where("kind <> 'order'").withColumn("first_scan", F.lit(1)), ["id"], ["kind", "key"]), parts={"edges": (e.where("kind <> 'HANDLES'"), ["kind"])})
     later = e.where("kind IN ('CALLS', 'HANDLES')").withColumn("conf", F.when(F.col("kind") == "CALLS", F.col("conf") - 1).otherwise(F.col("conf")).cast("int"))
     seen = insert_if_absent(store.read("nodes"), n.withColumn("first_scan", F.lit(2)), ["id"], ["kind", "key"])
-    store.commit(nodes=seen, edges=replace_part(store.read("edges"), later, ["kind"]))
+    store.commit(nodes=seen, parts={"edges": (later, ["kind"])})
     back = store.read("nodes").orderBy("id").select(F.lit("node").alias("section"), F.col("id").alias("a"), F.col("kind").alias("b"), F.col("key").cast("string").alias("c"), F.col("first_scan").alias("v"))
     links = ordered(store.read("edges")).select(F.lit("edge").alias("section"), F.col("src_id").alias("a"), F.col("dst_id").alias("b"), F.col("kind").alias("c"), F.col("conf").alias("v"))
     return back.unionByName(links)
