@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.operators.scratch import discard, written
+from graphweave.operators.scratch import discard, state_of, written
 
 
 def _offered(own: DataFrame, aliases: DataFrame, uses: DataFrame, exclusions: DataFrame, traits: DataFrame) -> DataFrame:
@@ -45,11 +45,11 @@ def _climbed(asked: DataFrame, local: DataFrame, types: DataFrame, most_rounds:
         front = written(moved.join(been, ["type", "name", "at"], "left_anti"), "front")
         seen.append(front)
         if front.isEmpty():
-            break
-    return done, [*seen, parents]
+            return done, [*seen, parents]
+    raise RuntimeError(f"chains of more than {most_rounds} parents")
 
 
-def resolve_methods(types: DataFrame, methods: DataFrame, uses: DataFrame, aliases: DataFrame, exclusions: DataFrame, asked: DataFrame, most_rounds: int = 64) -> DataFrame:
+def resolve_methods(types: DataFrame, methods: DataFrame, uses: DataFrame, aliases: DataFrame, exclusions: DataFrame, asked: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """The declaration with a body that a call of each ``asked`` (``type, name``) runs: ``type, name, owner, original, steps, outcome``.
 
     ``types`` has ``type, kind`` (class or trait) ``, parent``; ``methods`` has ``owner, name, abstract``; ``uses`` has ``type, trait``; ``aliases`` has ``type, name, trait``
@@ -66,13 +66,16 @@ def resolve_methods(types: DataFrame, methods: DataFrame, uses: DataFrame, alias
     offers = written(rows, "offers")
     nested = only(uses)
     if not nested.isEmpty() or not only(aliases).isEmpty():
+        known = state_of(offers)
         for _ in range(most_rounds):
             again = _offered(only(own), only(aliases), nested, only(exclusions), offers).where("owner IS NOT NULL").select("type", "name", "owner", "original")
             before, offers = offers, written(again, "offers")
-            same = before.exceptAll(offers).isEmpty() and offers.exceptAll(before).isEmpty()
             discard(before)
-            if same:
+            was, known = known, state_of(offers)
+            if was == known:
                 break
+        else:
+            raise RuntimeError(f"traits did not settle in {most_rounds} rounds")
     local = written(_offered(own, aliases, uses, exclusions, offers), "local")
     done, left = _climbed(asked, local, types, most_rounds)
     discard(*left, offers)
@@ -81,7 +84,7 @@ def resolve_methods(types: DataFrame, methods: DataFrame, uses: DataFrame, alias
     return asked.select("type", "name").distinct().join(done, ["type", "name"], "left").select("type", "name", "owner", "original", "steps", kind.alias("outcome"))
 
 
-def resolve_properties(types: DataFrame, properties: DataFrame, uses: DataFrame, asked: DataFrame, most_rounds: int = 64) -> DataFrame:
+def resolve_properties(types: DataFrame, properties: DataFrame, uses: DataFrame, asked: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """The declared type of each ``asked`` property (``type, name``): ``type, name, declared, owner, steps``; nulls where none is declared.
 
     ``properties`` has ``owner, name, declared``; ``uses`` has ``type, trait, ord``. A type's own declaration comes first, then its traits in order (and theirs), then its
@@ -90,22 +93,45 @@ def resolve_properties(types: DataFrame, properties: DataFrame, uses: DataFrame,
     own = properties.groupBy(F.col("owner").alias("type"), "name").agg(F.min("declared").alias("declared")).withColumn("owner", F.col("type")).withColumn("level", F.lit(1))
     own = written(own.select("type", "name", "declared", "owner", "level"), "own")
     uses = written(uses.groupBy("type", "trait").agg(F.min("ord").alias("ord")), "uses")
-    local = own
+    local, known = own, state_of(own)
     for _ in range(most_rounds):
         through = uses.join(local.select(F.col("type").alias("trait"), "name", "declared", "owner"), "trait")
         first = through.groupBy("type", "name").agg(F.min(F.struct("ord", "trait", "declared", "owner")).alias("f"))
         composed = first.join(own, ["type", "name"], "left_anti").select("type", "name", F.col("f.declared").alias("declared"), F.col("f.owner").alias("owner"), F.lit(2).alias("level"))
         before, local = local, written(own.unionByName(composed), "properties")
-        settled = before.exceptAll(local).isEmpty() and local.exceptAll(before).isEmpty()
         if before is not own:
             discard(before)
-        if settled:
+        was, known = known, state_of(local)
+        if was == known:
             break
+    else:
+        raise RuntimeError(f"properties did not settle in {most_rounds} rounds")
     done, left = _climbed(asked, local, types, most_rounds)
     discard(*left, own, uses)
     return asked.select("type", "name").distinct().join(done, ["type", "name"], "left").select("type", "name", "declared", "owner", "steps")
 
 
+def nearest_base(classes: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """``type, steps``: the classes with a base among their ancestors, themselves included, and the steps to the nearest.
+
+    ``classes`` has ``type, parent, base`` (flag). A class stops at its first base; a chain that comes back to where it was, ends or leaves the known classes has none. A repeated
+    class counts once (the greatest parent; a base if any row says so). Chains of more than ``most_rounds`` steps are an error.
+    """
+    known = written(classes.groupBy(F.col("type").alias("at")).agg(F.max("parent").alias("up"), F.coalesce(F.bool_or("base"), F.lit(False)).alias("base")), "classes")
+    front = written(known.select(F.col("at").alias("type"), "at", F.lit(0).alias("steps")), "climb")
+    seen, found = front.select("type", "at"), None
+    for step in range(1, most_rounds + 1):
+        met = written(front.join(known, "at"), "met")
+        ended = met.where("base").select("type", "steps")
+        found = ended if found is None else found.union(ended)
+        moved = met.where("NOT base AND up IS NOT NULL").select("type", F.col("up").alias("at"), F.lit(step).alias("steps"))
+        front = written(moved.join(seen, ["type", "at"], "left_anti"), "climb")
+        if front.isEmpty():
+            return found
+        seen = seen.union(front.select("type", "at"))
+    raise RuntimeError(f"chains of more than {most_rounds} parents")
+
+
 def resolve_names(names: DataFrame, imports: DataFrame, roots: DataFrame) -> DataFrame:
     """``name, fqn, by``: a name whose head is imported takes the import's meaning, else the longest root that it starts with, else itself.
 

@@ -25,7 +25,8 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
         moved = front.join(steps, ["kind", "key"]).select("root", F.col("dst_kind").alias("kind"), F.col("dst").alias("key"), F.least("conf", "step").alias("conf"))
         front = moved.groupBy("root", "kind", "key").agg(F.max("conf").alias("conf")).select("root", "kind", "key", F.lit(d).alias("depth"), "conf")
         front = written(front, "front")
-        if front.isEmpty():
+        if d == depth or front.isEmpty():
+            out = out.unionByName(front)
             break
         out = out.unionByName(front)
     discard(steps)
@@ -147,14 +148,18 @@ def climb(parents: DataFrame, depth: int) -> DataFrame:
     """Chains upward in a table ``child, parent`` (null parent: a base; a parent without a row: it leaves the project).
 
     Returns ``child, top, steps, complete``: the last node in the project, the steps to it, and whether the chain
-    ends in a base within ``depth`` steps (a cycle does not).
+    ends in a base within ``depth`` steps (a cycle does not). Every step is one join with a written table; chains that have ended move no further, and when none is left the climb ends.
     """
-    known = parents.select(F.col("child").alias("k"), F.col("parent").alias("up"))
+    known = written(parents.select(F.col("child").alias("k"), F.col("parent").alias("up")), "parents")
     now = parents.select("child", F.col("child").alias("top"), F.col("parent").alias("next"), F.lit(0).alias("steps"))
     done = None
     for _ in range(depth):
-        joined = now.join(known, now["next"] == known["k"], "left")
-        ended = joined.where(F.col("k").isNull()).select("child", "top", "steps", F.col("next").isNull().alias("complete"))
+        state = written(now.join(known, F.col("next") == F.col("k"), "left"), "chains")
+        ended = state.where(F.col("k").isNull()).select("child", "top", "steps", F.col("next").isNull().alias("complete"))
         done = ended if done is None else done.unionByName(ended)
-        now = joined.where(F.col("k").isNotNull()).select("child", F.col("k").alias("top"), F.col("up").alias("next"), (F.col("steps") + 1).alias("steps"))
-    return done.unionByName(now.select("child", "top", "steps", F.lit(False).alias("complete")))
+        now = state.where(F.col("k").isNotNull()).select("child", F.col("k").alias("top"), F.col("up").alias("next"), (F.col("steps") + 1).alias("steps"))
+        if now.isEmpty():
+            break
+    discard(known)
+    rest = now.select("child", "top", "steps", F.lit(False).alias("complete"))
+    return rest if done is None else done.unionByName(rest)

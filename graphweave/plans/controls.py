@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphweave.functions.controls import CONTROLS, excluded, has_control, joined_uri, singular
 from graphweave.functions.masks import ALL, mask
 from graphweave.operators.ranking import first_of
-from graphweave.operators.scratch import discard, written
+from graphweave.operators.resolve import nearest_base
 from graphweave.plans.flows import values
 from graphweave.sources.driver_tables import table
 
@@ -197,22 +197,8 @@ SELECT w.k AS p_partkey, CAST(min(w.d) AS INTEGER) AS steps FROM w JOIN c ON c.k
 """)
 def model_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes with a known base among their ancestors, themselves included, and the steps to the nearest."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") % 9 != 0, F.expr("p_partkey DIV 3")).alias("up"), F.col("p_brand").isin("Brand#1", "Brand#2").alias("base"))
-    c = written(parts, "classes")
-    now, found = written(c.select("k", F.col("k").alias("at"), F.lit(0).alias("steps")), "climb"), []
-    # A class stops at its first base, so a cycle without one ends at the bound and is no model.
-    for d in range(16):
-        met = written(now.join(c.select(F.col("k").alias("at"), "up", "base"), "at"), "met")
-        found.append(met.where("base").select(F.col("k").alias("p_partkey"), "steps"))
-        discard(now)
-        now = written(met.where("NOT base AND up IS NOT NULL").select("k", F.col("up").alias("at"), F.lit(d + 1).alias("steps")), "climb")
-        if now.isEmpty():
-            break
-    discard(now)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.select("p_partkey", F.col("steps").cast("int").alias("steps"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("type"), F.when(F.col("p_size") % 9 != 0, F.expr("p_partkey DIV 3")).alias("parent"), F.col("p_brand").isin("Brand#1", "Brand#2").alias("base"))
+    return nearest_base(parts).select(F.col("type").alias("p_partkey"), "steps")
 
 
 @registered("""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from graphweave.functions.identity import digest16, node_id
 from graphweave.operators.ranking import first_of
 from graphweave.operators.scratch import numbered
 from graphweave.operators.traverse import best_paths, climb, reach
-from graphweave.sources.driver_tables import edges, node_keys, nodes, table
+from graphweave.sources.driver_tables import NODE_TABLES, edge_parts, edges, node_keys, nodes, table
 
 QUERIES, SQL = {}, {}
 
@@ -49,8 +51,9 @@ FROM e JOIN n a ON a.kind = e.src_kind AND a.key = e.src JOIN n b ON b.kind = e.
 """)
 def graph_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges whose ends are both declared. Ids are digests of kind and key, so they are computed in place; the joins only ask whether an end exists."""
-    n, e = node_keys(spark, sf_dir), edges(spark, sf_dir)
-    found = e.join(n.toDF("src_kind", "src"), ["src_kind", "src"], "left_semi").join(n.toDF("dst_kind", "dst"), ["dst_kind", "dst"], "left_semi")
+    keys = {kind: table(spark, sf_dir, source).select(F.col(key).cast("long").alias("key")) for kind, source, key, _ in NODE_TABLES}
+    declared = lambda rows, end, kind: rows.join(keys[kind].withColumnRenamed("key", end), end, "left_semi")
+    found = reduce(DataFrame.unionByName, [declared(declared(rows, "src", a), "dst", b) for a, b, rows in edge_parts(spark, sf_dir)])
     return found.select(node_id(F.col("src_kind"), F.col("src")).alias("src_id"), node_id(F.col("dst_kind"), F.col("dst")).alias("dst_id"), "kind", "conf")
 
 

@@ -6,6 +6,8 @@ handles orders; an order calls parts through its lines. Confidence is in whole h
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,20 +47,28 @@ def node_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``src_kind, src, dst_kind, dst, kind, conf``; several calls between the same two count by the surest."""
+def edge_parts(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, DataFrame]]:
+    """The edges by kinds of their ends: source kind, target kind and ``src_kind, src, dst_kind, dst, kind, conf``."""
     nation, orders = table(spark, sf_dir, "nation"), table(spark, sf_dir, "orders")
     customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
 
-    def edge(df: DataFrame, src_kind: str, src: str, dst_kind: str, dst: str, kind: str, conf=F.lit(100)) -> DataFrame:
-        return df.select(F.lit(src_kind).alias("src_kind"), F.col(src).cast("long").alias("src"), F.lit(dst_kind).alias("dst_kind"), F.col(dst).cast("long").alias("dst"), F.lit(kind).alias("kind"), conf.cast("int").alias("conf"))
+    def edge(df: DataFrame, src_kind: str, src: str, dst_kind: str, dst: str, kind: str, conf=F.lit(100)) -> tuple[str, str, DataFrame]:
+        rows = df.select(F.lit(src_kind).alias("src_kind"), F.col(src).cast("long").alias("src"), F.lit(dst_kind).alias("dst_kind"), F.col(dst).cast("long").alias("dst"), F.lit(kind).alias("kind"), conf.cast("int").alias("conf"))
+        return src_kind, dst_kind, rows
+
+    surest = F.max(100 - F.round(100 * F.col("l_discount"))).alias("conf")
+    return [
+        edge(nation, "region", "n_regionkey", "nation", "n_nationkey", "DECLARES"),
+        edge(customer, "nation", "c_nationkey", "customer", "c_custkey", "DECLARES"),
+        edge(supplier, "nation", "s_nationkey", "supplier", "s_suppkey", "DECLARES"),
+        edge(orders, "customer", "o_custkey", "order", "o_orderkey", "HANDLES"),
+        edge(table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(surest), "order", "l_orderkey", "part", "l_partkey", "CALLS", F.col("conf")),
+    ]
 
-    calls = edge(table(spark, sf_dir, "lineitem"), "order", "l_orderkey", "part", "l_partkey", "CALLS", 100 - F.round(100 * F.col("l_discount")))
-    calls = calls.groupBy("src_kind", "src", "dst_kind", "dst", "kind").agg(F.max("conf").alias("conf"))
-    declared = edge(nation, "region", "n_regionkey", "nation", "n_nationkey", "DECLARES")
-    declared = declared.unionByName(edge(customer, "nation", "c_nationkey", "customer", "c_custkey", "DECLARES"))
-    declared = declared.unionByName(edge(supplier, "nation", "s_nationkey", "supplier", "s_suppkey", "DECLARES"))
-    return declared.unionByName(edge(orders, "customer", "o_custkey", "order", "o_orderkey", "HANDLES")).unionByName(calls)
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``src_kind, src, dst_kind, dst, kind, conf``; several calls between the same two count by the surest."""
+    return reduce(DataFrame.unionByName, [rows for _, _, rows in edge_parts(spark, sf_dir)])
 
 
 def part_calls(spark: SparkSession, sf_dir: str, back: float = 0.05) -> DataFrame:
