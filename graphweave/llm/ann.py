@@ -15,9 +15,9 @@ from graphweave.llm.common import batches_of, discard, shuffle_partitions, writt
 
 #: Bound of the fit: vectors sampled for the codebooks.
 SAMPLE_VECTORS = 8192
-BOOKS, WORDS, BEAM = 8, 256, 8
-#: Vectors per index block, queries per query block, candidates per query and block that are scored exactly.
-BLOCK_ROWS, QUERY_ROWS, RERANKED = 4096, 256, 192
+BOOKS, WORDS, BEAM = 16, 256, 8
+#: Vectors per index block, queries per query block, candidates per query (of all vectors together) that are scored exactly.
+BLOCK_ROWS, QUERY_ROWS, RERANKED = 4096, 256, 384
 #: Pairs of blocks that travel to a Python worker at once.
 PAIRS_AT_ONCE = 32
 
@@ -103,10 +103,14 @@ def _stack(pdf: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(dim: int, rows: int, quantiser: Quantiser | None):
+    """Blocks of the index (ids, codes and norms), or of queries (ids and unit vectors)."""
+
     def block(pdf: pd.DataFrame) -> dict:
         ids, vectors = _stack(pdf, dim)
-        codes, norms = quantiser.encode(_units(vectors)) if quantiser else (np.empty(0, np.uint8), np.empty(0, np.float32))
-        return {"ids": ids.tobytes(), "vectors": vectors.tobytes(), "codes": codes.tobytes(), "norms": norms.tobytes()}
+        if quantiser is None:
+            return {"q_ids": ids.tobytes(), "q_units": _units(vectors).tobytes()}
+        codes, norms = quantiser.encode(_units(vectors))
+        return {"ids": ids.tobytes(), "codes": codes.tobytes(), "norms": norms.tobytes()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -121,42 +125,53 @@ def _blocks(dim: int, rows: int, quantiser: Quantiser | None):
     return run
 
 
-def _search(dim: int, quantiser: Quantiser, k: int, reranked: int):
-    """Pairs of a query block and an index block to the k exactly scored best of each query in the block."""
-
-    def best(query_ids, queries, ids, vectors, codes, norms):
-        tables = (_units(queries) @ quantiser.flat.T).reshape(len(queries), *quantiser.books.shape[:2])
-        rough = sum(tables[:, b, :][:, codes[:, b]] for b in range(quantiser.books.shape[0])) / np.sqrt(np.maximum(norms, 1e-12))
-        rough[query_ids[:, None] == ids[None, :]] = -np.inf
-        take = min(reranked, len(ids))
-        floor = -np.partition(-rough, take - 1, axis=1)[:, take - 1]
-        wide = vectors.astype(np.float64)
-        lengths = np.sqrt((wide * wide).sum(axis=1))
-        for q in range(len(queries)):
-            above = np.flatnonzero(rough[q] > floor[q])
-            level = np.flatnonzero(rough[q] == floor[q])[: take - len(above)]  # ids ascend in a block
-            at = np.concatenate([above, level])
-            at = at[np.isfinite(rough[q][at])]
-            own = queries[q].astype(np.float64)
-            exact = (wide[at] * own).sum(axis=1) / (lengths[at] * np.sqrt((own * own).sum()))
-            first = np.lexsort((ids[at], -exact))[:k]
-            yield from zip([query_ids[q]] * len(first), ids[at[first]], exact[first])
+def _best(scores: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the ``most`` greatest scores and their ids, of equal scores the smaller ids."""
+    if scores.shape[1] <= most:
+        return scores, ids
+    order = np.lexsort((ids, -scores), axis=1)[:, :most]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _scan(quantiser: Quantiser, most: int):
+    """Pairs of an index block and a query block to the ``most`` candidates of each query in all blocks of the task, scored by lookup tables on codes and norms alone."""
+
+    def rough(query_ids, units, ids, codes, norms):
+        tables = (units @ quantiser.flat.T).reshape(len(units), *quantiser.books.shape[:2])
+        found = sum(tables[:, b, :][:, codes[:, b]] for b in range(quantiser.books.shape[0])) / np.sqrt(np.maximum(norms, 1e-12))
+        found[query_ids[:, None] == ids[None, :]] = -np.inf
+        if len(ids) <= most:
+            return found, np.broadcast_to(ids, found.shape)
+        floor = -np.partition(-found, most - 1, axis=1)[:, most - 1 : most]
+        above, level = found > floor, found == floor
+        # Of those on the floor the first by id, which ascend in a block, so that copies of one vector rank alike in every block.
+        keep = above | level & (np.cumsum(level, axis=1) <= most - above.sum(axis=1, keepdims=True))
+        at = np.nonzero(keep)[1].reshape(len(found), most)
+        return np.take_along_axis(found, at, 1), ids[at]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                ids, query_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
-                if not len(ids) or not len(query_ids):
-                    continue
-                vectors = np.frombuffer(r.vectors, np.float32).reshape(-1, dim)
-                queries = np.frombuffer(r.q_vectors, np.float32).reshape(-1, dim)
-                codes = np.frombuffer(r.codes, np.uint8).reshape(len(ids), -1)
-                rows = best(query_ids, queries, ids, vectors, codes, np.frombuffer(r.norms, np.float32))
-                yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+                query_ids, ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
+                units = np.frombuffer(r.q_units, np.float32).reshape(len(query_ids), -1)
+                scores, found = rough(query_ids, units, ids, np.frombuffer(r.codes, np.uint8).reshape(len(ids), -1), np.frombuffer(r.norms, np.float32))
+                if r.q_ids in held:
+                    before = held[r.q_ids]
+                    scores, found = _best(np.concatenate([before[0], scores], axis=1), np.concatenate([before[1], found], axis=1), most)
+                held[r.q_ids] = scores, found
+        for key, (scores, found) in held.items():
+            query_ids = np.repeat(np.frombuffer(key, np.int64), scores.shape[1])
+            fine = np.isfinite(scores).reshape(-1)
+            yield pd.DataFrame({"query_id": query_ids[fine], "vec_id": found.reshape(-1)[fine], "rough": scores.reshape(-1)[fine].astype(np.float32)})
 
     return run
 
 
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, reranked: int = RERANKED) -> DataFrame:
     """The ``k`` nearest found of every query among the vectors of its length: ``query_id, rank, vec_id, score`` (cosine in double precision).
 
@@ -174,25 +189,28 @@ def _neighbours(rows: DataFrame, asked: DataFrame, dim: int, k: int, reranked: i
     """The search among usable vectors of ``dim`` components.
 
     Codebooks come from at most SAMPLE_VECTORS unit vectors, chosen by hash; every vector is encoded by beam search and indexed
-    in blocks with its codes and the norm of their sum. Each block of queries meets each block of the
-    index once: lookup tables score all its vectors, and the ``reranked`` best of each query and block are scored exactly on the
-    original vectors.
+    in blocks of codes and norms, without the vectors. Each block of queries meets each block of the index once, and lookup tables score all its
+    vectors; a task keeps the ``reranked`` best of each query over all its blocks. Of these the ``reranked`` best of all tasks are
+    joined with the original vectors and scored exactly.
     """
     spark = rows.sparkSession
     n = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id", F.lit("codebook"))).limit(SAMPLE_VECTORS).toPandas()
     quantiser = train(_units(_stack(sample, dim)[1])) if n else Quantiser(np.zeros((BOOKS, WORDS, dim), np.float32))
     parts = shuffle_partitions(spark)
-    layout = "ids binary, vectors binary, codes binary, norms binary"
-    index = written(rows.repartition(max(1, min(parts, -(-n // BLOCK_ROWS)))).mapInPandas(_blocks(dim, BLOCK_ROWS, quantiser), layout), "index")
-    asked = asked.mapInPandas(_blocks(dim, QUERY_ROWS, None), layout)
-    asked = written(asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "queries")
-    # Blocks meet where the index lies; only the k best of each pair of blocks go on.
+    index = written(rows.repartition(max(1, min(parts, -(-n // BLOCK_ROWS)))).mapInPandas(_blocks(dim, BLOCK_ROWS, quantiser), "ids binary, codes binary, norms binary"), "index")
+    own = written(asked, "asked")
+    blocks = written(own.mapInPandas(_blocks(dim, QUERY_ROWS, None), "q_ids binary, q_units binary"), "queries")
+    # Blocks meet where the index lies.
     with batches_of(spark, PAIRS_AT_ONCE):
-        found = written(index.crossJoin(asked).mapInPandas(_search(dim, quantiser, k, reranked), "query_id long, vec_id long, score double"), "found")
-    discard(index, asked)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = written(index.crossJoin(blocks).mapInPandas(_scan(quantiser, reranked), "query_id long, vec_id long, rough float"), "found")
+    discard(index, blocks)
+    place = lambda *by: F.row_number().over(Window.partitionBy("query_id").orderBy(*by))
+    best = found.withColumn("place", place(F.desc("rough"), "vec_id")).where(F.col("place") <= reranked).select("query_id", "vec_id")
+    pairs = best.join(rows.select("vec_id", "embedding"), "vec_id").join(own.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    score = _dot(F.col("q"), F.col("embedding")) / (F.sqrt(_dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(_dot(F.col("q"), F.col("q"))))
+    scored = pairs.select("query_id", "vec_id", score.alias("score"))
+    return scored.withColumn("rank", place(F.desc("score"), "vec_id")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -346,9 +346,9 @@ def _able(least: float, size_a, size_b, pos_a, pos_b):
 def meetings(texts: DataFrame) -> DataFrame:
     """Every shingle of a prefix that two texts or more have there: ``token, rep, size, pos``, and of the least text ``head, head_size, head_pos``."""
     rows = texts.select(F.posexplode("prefix").alias("pos", "token"), "rep", "size")
-    first = F.min(F.struct("rep", "size", "pos")).over(Window.partitionBy("token"))
-    last = F.max("rep").over(Window.partitionBy("token"))
-    met = rows.select("token", "rep", "size", "pos", first.alias("h"), last.alias("l")).where("h.rep != l")
+    # Least and greatest are combined before the shuffle, and a shingle of very many texts is split by the join.
+    heads = rows.groupBy("token").agg(F.min(F.struct("rep", "size", "pos")).alias("h"), F.max("rep").alias("l")).where("h.rep != l")
+    met = rows.join(heads.drop("l").hint("merge"), "token")
     return met.select("token", "rep", "size", "pos", F.col("h.rep").alias("head"), F.col("h.size").alias("head_size"), F.col("h.pos").alias("head_pos"))
 
 
