@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweave.functions.calls import argument, bound_class, with_markers
 from graphweave.functions.identity import node_id
 from graphweave.functions.masks import ALL, mask
 from graphweave.operators.ranking import innermost
@@ -39,10 +40,8 @@ def sink_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(F.col("p_size") % 2 == 0, F.array(one(F.lit("command"), F.col("p_brand"), kind)))
     # A named argument may stand before those that go by place.
     args = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.coalesce(own, F.array().cast("array<struct<name:string,value:string,kind:string>>")), words).alias("args"))
-    named = F.get(F.filter("args", lambda a: a["name"] == "command"), F.lit(0))
-    placed = F.get(F.filter("args", lambda a: a["name"].isNull()), F.lit(1))
-    pick = F.coalesce(named, placed)
-    return args.select("p_partkey", pick["value"].alias("argument"), named.isNotNull().alias("named"), (pick["kind"] == "list").alias("exempt"))
+    pick = argument(F.col("args"), "command", 1)
+    return args.select("p_partkey", pick["value"].alias("argument"), pick["name"].isNotNull().alias("named"), (pick["kind"] == "list").alias("exempt"))
 
 
 @registered(r"""
@@ -128,7 +127,9 @@ def receiver_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("lexical"), F.col("l_suppkey").alias("receiver"), scope.alias("scope")).distinct()
     j = s.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("lexical"), "p_type", "p_size", "p_brand"), "lexical", "left")
     runtime, own, up = F.concat(F.lit("R"), "receiver"), F.concat(F.lit("L"), "lexical"), F.when(F.col("p_size") % 9 != 0, F.concat(F.lit("L"), F.expr("lexical DIV 4")))
-    bound = F.when(F.col("scope").isin("AF", "AO"), F.when(F.col("p_type") == "SMALL", runtime).otherwise(own)).when(F.col("scope") == "RF", runtime).when(F.col("scope") == "RO", up).otherwise(F.concat(F.lit("N"), "p_brand"))
+    # Flags stand for scopes.
+    said = F.when(F.col("scope").isin("AF", "AO"), "self").when(F.col("scope") == "RF", "static").when(F.col("scope") == "RO", "parent").otherwise(F.concat(F.lit("N"), "p_brand"))
+    bound = bound_class(said, own, runtime, up, F.coalesce(F.col("p_type") == "SMALL", F.lit(False)))
     return j.select("l_orderkey", "l_linenumber", "lexical", "receiver", "scope", bound.alias("bound"))
 
 
@@ -197,8 +198,8 @@ def weak_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths with a marker step wherever a control that clears nothing touches taint, numbered from 0 in order."""
     s = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("step"), ((F.col("l_linestatus") == "F") & (F.col("l_quantity") >= 10)).alias("weak"))
     per = s.groupBy("l_orderkey", "step").agg(F.bool_or("weak").alias("weak"))
-    steps = per.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("step", "weak"))).alias("s"))
-    marked = F.flatten(F.transform("s", lambda x: F.when(x["weak"], F.array(F.struct(x["step"].alias("step"), F.lit("call").alias("role")), F.struct(x["step"].alias("step"), F.lit("weak-control").alias("role")))).otherwise(F.array(F.struct(x["step"].alias("step"), F.lit("call").alias("role"))))))
+    steps = per.groupBy("l_orderkey").agg(F.collect_list(F.struct("step", "weak")).alias("s"))
+    marked = with_markers(F.col("s"))
     return steps.select("l_orderkey", F.posexplode(marked).alias("place", "x")).select("l_orderkey", "x.step", "x.role", "place")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweave.functions.calls import unsafe_write
 from graphweave.functions.masks import ALL, KINDS, cleared, mask, union
 from graphweave.operators.evidence import assemble, path_text, ranked_paths
 from graphweave.operators.traverse import block_dataflow, taint_walk
@@ -119,7 +120,7 @@ def mass_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").join(models, "l_partkey", "left")
     args = F.when(F.col("l_tax") > 0.02, 2).otherwise(1)
     tainted = F.col("l_quantity") >= 25
-    unsafe = F.when(F.col("idx").isNull() | F.col("protection").isNull(), None).when((F.col("idx") >= args) | ~tainted | ((F.col("protection") == "guarded") & (F.col("bypass") == 0)), 0).otherwise(1)
+    unsafe = unsafe_write(F.col("idx"), args, tainted, F.col("protection"), F.col("bypass") == 1)
     return calls.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.count("*").alias("calls"), F.max(unsafe.cast("int")).alias("unsafe"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphweave.plans import calls, controls, exports, findings, flows, graph, resolution, runtime, walks
+from graphweave.plans import calls, controls, exports, facts, findings, flows, graph, resolution, runtime, walks
 
 QUERIES, SQL = {}, {}
-for plans in (graph, findings, flows, resolution, exports, controls, calls, walks, runtime):
+for plans in (graph, findings, flows, resolution, exports, controls, calls, walks, runtime, facts):
     QUERIES |= plans.QUERIES
     SQL |= plans.SQL
