@@ -14,8 +14,8 @@ def argument(args: Column, name: str, place: int) -> Column:
 
 def answers_html(chain: Column) -> Column:
     """Whether a chain of calls, the receiver first, answers with HTML: it makes a response or a view and no call of it makes that JSON."""
-    makes, json = F.array(*map(F.lit, ["response", "view", "make"])), F.array(*map(F.lit, ["json", "jsonp"]))
-    return F.coalesce(F.arrays_overlap(chain, makes) & ~F.arrays_overlap(chain, json), F.lit(False))
+    has = lambda *names: F.exists(chain, lambda x: F.coalesce(x.isin(*names), F.lit(False)))
+    return F.coalesce(has("response", "view", "make") & ~has("json", "jsonp"), F.lit(False))
 
 
 def bound_class(scope: Column, lexical: Column, runtime: Column, parent: Column, in_trait: Column) -> Column:

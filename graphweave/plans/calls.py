@@ -258,7 +258,7 @@ def model_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     fillable = F.when(F.col("p_size") % 4 == 0, None).when(F.col("p_size") % 4 == 1, F.array().cast("array<string>")).otherwise(F.split("p_name", " "))
     m = p.select("p_partkey", F.when(F.col("p_size") % 8 == 0, "other").otherwise(tbl).alias("table"), fillable.alias("fillable"))
     columns = p.where("p_size % 5 = 0").select(tbl.alias("table"), F.explode(F.split("p_name", " ")).alias("w")).groupBy("table").agg(F.collect_set("w").alias("cols"))
-    j = m.join(F.broadcast(columns), "table", "left")
+    j = m.join(columns, "table", "left")
     privileged = F.exists("fillable", lambda x: x.rlike("(?i)^(hot|is_admin|ring)$") & (F.col("cols").isNull() | F.array_contains("cols", x)))
     kind = F.when(F.col("fillable").isNull(), "unreadable").when(F.size("fillable") == 0, "open").when(privileged, "privileged").otherwise("guarded")
     return j.select("p_partkey", "table", kind.alias("protection"))
