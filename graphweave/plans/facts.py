@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphweave.functions.masks import ALL, mask
 from graphweave.operators import build
+from graphweave.operators.config import deep_merged, flattened
 from graphweave.plans.flows import values
 from graphweave.sources.driver_tables import NODE_TABLES, edge_parts, node_keys, table
 
@@ -126,3 +127,16 @@ def gated_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.concat(F.when(F.col("o_orderstatus") == "O", "click").when(F.col("o_orderstatus") == "F", "view").otherwise("error"), (F.col("o_custkey") % 5).cast("string"), F.lit(":x"))
     name = F.when(F.expr("o_orderkey % 50 = 0"), "?").when(F.expr("o_orderkey % 40 = 0"), "can:update").when(F.expr("o_orderkey % 7 <> 0"), own)
     return build.gated(o.select(F.col("o_orderkey").alias("route"), F.array(name).alias("middleware")), handlers)
+
+
+@registered("""
+WITH e AS (SELECT user_id, event_id % 3 AS layer, event_id, event_type AS t, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+f AS (SELECT user_id, layer, event_id, CASE k % 4 WHEN 0 THEN 'app.' || t WHEN 1 THEN 'app.' || t || '.deep' WHEN 2 THEN t ELSE 'app' END AS path, k AS value FROM e WHERE k % 4 <> 3 OR k % 20 = 3 UNION ALL SELECT user_id, layer, event_id, 'app.' || t || '.also', event_id FROM e WHERE k % 4 = 1)
+SELECT DISTINCT user_id, path, CAST(value AS VARCHAR) AS value FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.user_id = f.user_id AND (g.layer, g.event_id) > (f.layer, f.event_id) AND (g.path = f.path OR starts_with(g.path, f.path || '.') OR starts_with(f.path, g.path || '.')))
+""")
+def config_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested configuration of every user, event over event and layer over layer: an object takes the place of a value and a value that of an object, other keys stay."""
+    e = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 3).alias("layer"), "event_id", F.col("event_type").alias("t"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    inner = F.when(F.col("k") % 4 == 0, F.format_string('{"app":{"%s":%s}}', "t", F.col("k").cast("string"))).when(F.col("k") % 4 == 1, F.format_string('{"app":{"%s":{"deep":%s,"also":%s}}}', "t", F.col("k").cast("string"), F.col("event_id").cast("string")))
+    inner = inner.when(F.col("k") % 4 == 2, F.format_string('{"%s":%s}', "t", F.col("k").cast("string"))).when(F.col("k") % 20 == 3, F.format_string('{"app":%s}', F.col("k").cast("string")))
+    return deep_merged(flattened(e.select("user_id", "layer", "event_id", inner.alias("config"))), ["user_id"], ["layer", "event_id"])
