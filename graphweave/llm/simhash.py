@@ -343,31 +343,42 @@ def _able(least: float, size_a, size_b, pos_a, pos_b):
     return (size_a >= least * size_b - 1e-6) & (size_b >= least * size_a - 1e-6) & (left_a >= need) & (left_b >= need)
 
 
-def meetings(texts: DataFrame) -> DataFrame:
-    """Every shingle of a prefix that two texts or more have there: ``token, rep, size, pos``, and of the least text ``head, head_size, head_pos``."""
+def _leads(least: float):
+    """Whether a text can be the smaller one (or one of two equals) of a pair that first meets at its ``pos``: enough of it is left to reach ``least`` with a set of its own size, which asks least of it."""
+    return F.col("size") - F.col("pos") >= 2 * least / (1 + least) * F.col("size") - 1e-6
+
+
+def meetings(texts: DataFrame, least: float) -> DataFrame:
+    """Every shingle of a prefix where a pair can first meet: ``token, rep, size, pos``, and of the least text ``head, head_size, head_pos``.
+
+    Left out are shingles that one text alone has there, and those at which no text leads: of two sets that reach ``least`` the smaller one leads
+    where they first meet, so what stands late in all prefixes (a template that its texts fill differently) joins nobody.
+    """
     rows = texts.select(F.posexplode("prefix").alias("pos", "token"), "rep", "size")
     # Least and greatest are combined before the shuffle, and a shingle of very many texts is split by the join.
-    heads = rows.groupBy("token").agg(F.min(F.struct("rep", "size", "pos")).alias("h"), F.max("rep").alias("l")).where("h.rep != l")
-    met = rows.join(heads.drop("l").hint("merge"), "token")
+    heads = rows.groupBy("token").agg(F.min(F.struct("rep", "size", "pos")).alias("h"), F.max("rep").alias("l"), F.bool_or(_leads(least)).alias("led")).where("h.rep != l AND led")
+    met = rows.join(heads.drop("l", "led").hint("merge"), "token")
     return met.select("token", "rep", "size", "pos", F.col("h.rep").alias("head"), F.col("h.size").alias("head_size"), F.col("h.pos").alias("head_pos"))
 
 
 def open_pairs(met: DataFrame, least: float, small_group: int = SMALL_GROUP) -> DataFrame:
     """Pairs ``a, b`` of texts (with their groups ``ga, gb``) of different groups (``component``) that meet and can have a similarity of ``least``.
 
-    Shingles whose texts are all of one group are left out at once. Sets whose sizes differ by more than ``least`` never meet: sizes fall into classes
-    of that ratio, and a text joins those of its own and the next lower class. A shingle with more than ``small_group`` texts of a class is joined
-    in salted blocks, so no task takes a whole such shingle.
+    Shingles whose texts are all of one group are left out at once. Texts that lead meet those of their size or more; texts that do not lead never meet each other.
+    Sets whose sizes differ by more than ``least`` never meet: sizes fall into classes of that ratio, and a text joins the leading ones of its own and the next lower class.
+    A shingle with more than ``small_group`` leading texts of a class is joined in salted blocks, so no task takes a whole such shingle.
     """
     counts = met.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     rows = met.join(counts.where("lo != hi").select("token"), "token").select("token", "rep", "size", "pos", "component")
     rows = written(rows.withColumn("class", F.floor(F.log("size") / float(-np.log(least)) + 1e-9).cast("int")), "open")
-    blocks = rows.groupBy("token", "class").agg(F.ceil(F.count("*") / small_group).cast("int").alias("blocks"))
-    one = rows.join(blocks, ["token", "class"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
-    other = rows.withColumn("low", F.col("class")).withColumn("class", F.explode(F.array(F.col("low"), F.col("low") + 1))).join(blocks, ["token", "class"])
+    leading = rows.where(_leads(least))
+    blocks = leading.groupBy("token", "class").agg(F.ceil(F.count("*") / small_group).cast("int").alias("blocks"))
+    one = leading.join(blocks, ["token", "class"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
+    other = rows.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1))).join(blocks, ["token", "class"])
     other = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    other = other.select("token", "class", "salt", "low", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
-    pairs = one.join(other, ["token", "class", "salt"]).where((F.col("component") != F.col("cb")) & ((F.col("low") < F.col("class")) | (F.col("rep") > F.col("b"))))
+    other = other.select("token", "class", "salt", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"))
+    larger = (F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("rep") > F.col("b")))
+    pairs = one.join(other, ["token", "class", "salt"]).where((F.col("component") != F.col("cb")) & larger)
     pairs = pairs.where(_able(least, F.col("size"), F.col("size_b"), F.col("pos"), F.col("pos_b")))
     first = F.col("rep") < F.col("b")
     ordered = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in [("rep", "b", "a"), ("b", "rep", "b"), ("component", "cb", "ga"), ("cb", "component", "gb")]]
@@ -380,7 +391,7 @@ def prefix_pairs(texts: DataFrame, least: float, small_group: int = SMALL_GROUP)
     ``texts`` has ``rep``, ``component``, ``size`` (of the set) and ``prefix``. Texts meet at every shingle of their prefixes; sizes and places
     tell at once which cannot reach ``least``. Nothing else is left out.
     """
-    return open_pairs(meetings(texts).join(texts.select("rep", "component"), "rep"), least, small_group)
+    return open_pairs(meetings(texts, least).join(texts.select("rep", "component"), "rep"), least, small_group)
 
 
 def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -433,7 +444,7 @@ def near_copies(docs: DataFrame, words_each: int = 5, least: float = 0.8, radius
     discard(hashed)
     several = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a != b")
     several = members.join(several.drop("a"), "doc_id").where("rep != b").select(F.col("rep").alias("a"), "b")
-    met = written(meetings(texts.select("rep", "size", "prefix")), "meetings")
+    met = written(meetings(texts.select("rep", "size", "prefix"), least), "meetings")
     spread = texts.select("rep", F.posexplode("fps").alias("space", "fp"))
     owners = written(spread.groupBy("space", "fp").agg(F.min("rep").alias("head")), "owners")
     links = near_links(owners.select("space", "fp"), radius)

@@ -177,6 +177,23 @@ def test_prefix_pairs_of_common_shingles(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_prefix_pairs_lose_none_and_templates_join_nobody(spark):
+    """Random sets over few shingles: every pair of similarity 0.8 or more is there. Texts that share 84 % of their shingles, met late in the order, are no pairs and meet nowhere."""
+    rng = np.random.default_rng(5)
+    base = [rng.choice(60, size=n, replace=False) for n in (10, 15, 20, 25, 30)]
+    sets = {i: set(int(x) for x in rng.permutation(base[i % 5])[: len(base[i % 5]) - int(rng.integers(0, 4))]) | {int(x) for x in rng.choice(60, size=int(rng.integers(0, 3)))} for i in range(120)}
+    cut = lambda s: s[: len(s) - int(np.ceil(0.8 * len(s) - 1e-9)) + 1]
+    schema = "rep long, component long, size int, prefix array<long>"
+    texts = spark.createDataFrame([(i, i, len(s), cut(sorted(s))) for i, s in sets.items()], schema)
+    alike = {(i, j) for i in sets for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    for most in (2, 1024):
+        got = [(r["b"], r["a"]) for r in simhash.prefix_pairs(texts, 0.8, most).collect()]
+        assert len(alike) > 50 and len(got) == len(set(got)) and alike <= set(got)
+    filled = spark.createDataFrame([(i, i, 100, cut([1000 + 16 * i + k for k in range(16)] + [10**6 + k for k in range(84)])) for i in range(300)], schema)
+    assert filled.selectExpr("max(size(prefix)) AS n").first()["n"] == 21
+    assert simhash.meetings(filled, 0.8).count() == 0
+
+
 def test_bpe_equals_tiktoken(spark):
     import tiktoken
 
