@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweave.functions.calls import argument, bound_class, with_markers
+from graphweave.functions.calls import argument, bound_class, clears, returned_taint, with_markers
 from graphweave.functions.identity import node_id
 from graphweave.functions.masks import ALL, mask
 from graphweave.operators.ranking import innermost
@@ -286,3 +286,20 @@ def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
     f = table(spark, sf_dir, "lineitem").select(rank.alias("rank"), F.col("l_returnflag").alias("rule"), F.concat(F.lit("app/"), "l_partkey").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("col")).distinct()
     return numbered(f, ["rank", "rule", "path", "line", "col"])
+
+
+@registered(r"""
+WITH c AS (SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'htmlspecialchars' WHEN 'SMALL' THEN 'json_encode' WHEN 'STANDARD' THEN 'Js::from' WHEN 'PROMO' THEN 'strip_tags' ELSE '(int)' END AS call,
+  CASE p_size % 4 WHEN 0 THEN 'JSON_HEX_TAG' WHEN 1 THEN 'JSON_PRETTY_PRINT | JSON_HEX_TAG' WHEN 2 THEN 'JSON_HEX_TAGS' END AS flags, (CASE WHEN p_size % 2 = 0 THEN 4095 ELSE 34 END) | (CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END) AS taint FROM part),
+k AS (SELECT *, CASE call WHEN 'htmlspecialchars' THEN 2 WHEN 'Js::from' THEN 34 WHEN '(int)' THEN 3 WHEN 'json_encode' THEN CASE WHEN list_contains(string_split(flags, ' | '), 'JSON_HEX_TAG') THEN 34 ELSE 0 END ELSE 0 END AS clears FROM c)
+SELECT p_partkey, call, clears, taint & ~clears AS open FROM k
+""")
+def flagged_sanitizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of two arguments, what each clears (one only with its flag) and the taint that it passes on from both."""
+    call = F.when(F.col("p_type") == "ECONOMY", "htmlspecialchars").when(F.col("p_type") == "SMALL", "json_encode").when(F.col("p_type") == "STANDARD", "Js::from").when(F.col("p_type") == "PROMO", "strip_tags").otherwise("(int)")
+    place = F.col("p_size") % 4
+    flags = F.when(place == 0, "JSON_HEX_TAG").when(place == 1, "JSON_PRETTY_PRINT | JSON_HEX_TAG").when(place == 2, "JSON_HEX_TAGS")
+    one = lambda value, taint: F.struct(value.alias("value"), taint.cast("int").alias("taint"))
+    args = F.array(one(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, ALL).otherwise(mask("html", "js"))), one(flags, F.when(F.col("p_size") % 5 == 0, mask("sql"))))
+    calls = table(spark, sf_dir, "part").select("p_partkey", call.alias("call"), args.alias("args"))
+    return calls.select("p_partkey", "call", clears(F.col("call"), F.col("args")).alias("clears"), returned_taint(F.col("call"), F.col("args")).alias("open"))

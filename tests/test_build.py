@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphweave.functions.calls import answers_html, argument, bound_class, unsafe_write, with_markers
+from graphweave.functions.calls import answers_html, argument, bound_class, clears, returned_taint, unsafe_write, with_markers
 from graphweave.functions.identity import node_id
 from graphweave.functions.masks import ALL, mask
 from graphweave.operators import build
@@ -76,3 +76,20 @@ def test_markers(spark):
     steps = made(spark, [([(2, False), (1, True)],), ([],)], "s array<struct<step:int,weak:boolean>>")
     got = [[tuple(x) for x in r[0]] for r in steps.select(with_markers(F.col("s"))).collect()]
     assert got == [[(1, "call"), (1, "weak-control"), (2, "call")], []]
+
+
+def test_sanitizers_that_need_a_flag(spark):
+    schema = "i int, call string, args array<struct<value:string,taint:int>>"
+    calls = [
+        ("json_encode", [("$x", ALL), ("JSON_HEX_TAG | JSON_HEX_APOS", None)], mask("js", "html")), ("json_encode", [("$x", ALL), ("JSON_HEX_TAGS", None)], 0), ("json_encode", [("$x", ALL)], 0),
+        ("intval", [("$x", ALL)], mask("sql", "html", "path")), ("(int)", [("$x", ALL)], mask("sql", "html")), ("Js::from", [("$x", ALL)], mask("js", "html")),
+        ("trim", [("JSON_HEX_TAG", ALL)], 0), ("basename", [(None, None), ("$y", mask("path", "sql"))], mask("path")), ("e", [], mask("html")), ("e", None, mask("html")), (None, [("$x", ALL)], 0),
+    ]
+    df = made(spark, [(i, call, args) for i, (call, args, _) in enumerate(calls)], schema)
+    got = {r["i"]: (r["c"], r["t"]) for r in df.select("i", clears(F.col("call"), F.col("args")).alias("c"), returned_taint(F.col("call"), F.col("args")).alias("t")).collect()}
+    for i, (_, args, bits) in enumerate(calls):
+        every = 0
+        for _, taint in args or []:
+            every |= taint or 0
+        assert got[i] == (bits, every & ~bits)
+        assert not bits & mask("code")
