@@ -257,17 +257,23 @@ SELECT m.node, CAST(bit_or(m.b) AS INTEGER) AS mask, any_value(t.node) IS NOT NU
 def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kinds of sinks that every part reaches, by a second scan over the stored first one: only parts whose digest changed, and all that reach them, are worked out again.
 
-    At the first scan one part in sixteen had another kind and lacked its calls to even parts.
+    At the first scan one part in sixteen had another kind and lacked its calls to even parts. Parts without a known brand, and called ones that have no row, have no kind of their own but pass on
+    what they reach. A part without a key is called by none, so it has only its own kind.
     """
     kinds = F.broadcast(spark.createDataFrame(_SINKS, "p_brand string, rule string, bit int"))
     changed = F.substring(F.sha1(F.concat("p_name", F.col("p_partkey").cast("string"))), 1, 1) == "0"
-    parts = table(spark, sf_dir, "part").join(kinds, "p_brand").select(F.col("p_partkey").alias("node"), "bit", changed.alias("changed"))
+    rows = table(spark, sf_dir, "part").join(kinds, "p_brand", "left").select(F.col("p_partkey").alias("node"), F.coalesce("bit", F.lit(0)).alias("bit"), F.coalesce(changed, F.lit(False)).alias("changed"))
     calls = written(part_calls(spark, sf_dir).select("src", "dst"), "calls")
+    ends = calls.select(F.explode(F.array("src", "dst")).alias("node"), F.lit(0).alias("bit"), F.lit(False).alias("changed"))
+    every = written(rows.unionByName(ends).groupBy("node").agg(F.bit_or("bit").alias("bit"), F.max("changed").alias("changed")), "parts")
+    parts = every.where("node IS NOT NULL")
     flags = parts.select(F.col("node").alias("src"), "changed")
     first = calls.join(flags, "src").where("NOT changed OR dst % 2 = 1").select("src", "dst")
+    another = F.when(F.col("bit") == 1, 2).otherwise(1)
     store = Store(spark, f"{shared_folder(spark)}/graphweave-store-{uuid.uuid4().hex}")
-    for edges, mask_ in ((first, F.when(F.col("changed"), 1).otherwise(F.col("bit"))), (calls, F.col("bit"))):
+    for edges, mask_ in ((first, F.when(F.col("changed"), another).otherwise(F.col("bit"))), (calls, F.col("bit"))):
         body = edges.groupBy(F.col("src").alias("node")).agg(F.bit_xor(F.xxhash64("dst")).alias("calls"))
         symbols = parts.join(body, "node", "left").select("node", F.sha1(F.concat_ws("|", mask_.cast("string"), F.col("calls").cast("string"))).alias("digest"), mask_.alias("mask"))
         found = scan(store, symbols, edges)
-    return found.select("node", "mask", "touched")
+    unkeyed = every.where("node IS NULL").select("node", F.col("bit").alias("mask"), F.lit(False).alias("touched"))
+    return found.select("node", "mask", "touched").unionByName(unkeyed).where("mask <> 0")
