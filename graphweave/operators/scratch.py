@@ -52,6 +52,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(table: DataFrame) -> None:
+    """Let go of the shuffle files of what is written: Spark deletes them once the driver has collected the plans that held them, which in a long loop it may not do by itself."""
+    table.sparkSession._jvm.System.gc()
+
+
 def state_of(df: DataFrame) -> tuple:
     """Count and order-free hashes of the rows: equal for equal tables, and differing (but for a chance in 2^64) for others."""
     a, b = F.xxhash64(F.struct("*")), F.xxhash64(F.lit(1), F.struct("*"))

@@ -56,7 +56,10 @@ def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.select(F.lit(src_kind).alias("src_kind"), F.col(src).cast("long").alias("src"), F.lit(dst_kind).alias("dst_kind"), F.col(dst).cast("long").alias("dst"), conf.alias("conf"), clears.alias("clears"))
 
     segments, priorities = spark.createDataFrame(_SEGMENTS, "c_mktsegment string, clears int"), spark.createDataFrame(_PRIORITIES, "o_orderpriority string, clears int")
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey", "l_returnflag").agg(F.max(100 - F.round(100 * F.col("l_discount"))).cast("int").alias("conf"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", (100 - F.round(100 * F.col("l_discount"))).cast("int").alias("conf"))
+    if not table(spark, sf_dir, "lineitem").where("l_discount IS NULL").isEmpty():
+        # Else several calls between the same two may stay several edges, of which the walk takes the surest; one without a confidence would pass for it.
+        lines = lines.groupBy("l_orderkey", "l_partkey", "l_returnflag").agg(F.max("conf").alias("conf"))
     out = edge(table(spark, sf_dir, "nation"), "region", "n_regionkey", "nation", "n_nationkey", lit(100), lit(0))
     out = out.unionByName(edge(table(spark, sf_dir, "customer").join(F.broadcast(segments), "c_mktsegment"), "nation", "c_nationkey", "customer", "c_custkey", lit(100), F.col("clears")))
     out = out.unionByName(edge(table(spark, sf_dir, "orders").join(F.broadcast(priorities), "o_orderpriority"), "customer", "o_custkey", "order", "o_orderkey", lit(100), F.col("clears")))
@@ -67,12 +70,12 @@ def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``root, rule, sink, conf, depth, steps``: per root, rule and sink the surest, then shortest path of the walk that still carries the rule's kind."""
     roots = table(spark, sf_dir, "region").select(F.col("r_name").alias("root"), F.lit("region").alias("kind"), F.col("r_regionkey").cast("long").alias("key"), F.lit(ALL).alias("mask"))
-    states = taint_walk(_flow(spark, sf_dir), roots, trace=True)
+    states = taint_walk(_flow(spark, sf_dir), roots, trace=True, winners=True)
     sinks = spark.createDataFrame(_SINKS, "p_brand string, rule string, bit int")
     parts = table(spark, sf_dir, "part").join(F.broadcast(sinks), "p_brand").select(F.col("p_partkey").alias("key"), "rule", "bit")
     hits = states.where("kind = 'part'").join(parts, "key").where(F.col("mask").bitwiseAND(F.col("bit")) != 0)
     first = F.min(F.struct((-F.col("conf")).alias("doubt"), "depth", (-F.col("mask")).alias("less"), "prev")).alias("f")
-    best = hits.groupBy("root", "rule", "kind", "key").agg(first)
+    best = hits.groupBy("key", "kind", "root", "rule").agg(first)
     best = best.select("root", "kind", "key", (-F.col("f.less")).alias("mask"), (-F.col("f.doubt")).alias("conf"), F.col("f.depth").alias("depth"), F.col("f.prev").alias("prev"), "rule")
     return rebuilt(states, best).select("root", "rule", F.col("key").alias("sink"), "conf", "depth", "steps")
 

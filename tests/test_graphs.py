@@ -146,3 +146,43 @@ def test_traced_walk_gives_the_least_best_path(spark):
     # Every best state by brute force is there, or one that covers it.
     for root, key, mask, conf, depth in every:
         assert any(r == root and k == key and not mask & ~m and c >= conf and d <= depth for r, k, m, c, d in got)
+
+
+def test_a_walk_for_winners_gives_the_best_path_of_every_kind(spark):
+    """Cyclic graphs with several kinds of nodes: the path that the walk gives for each kind of taint is the best of all walks; states that cannot lie on one are not kept."""
+    rng = random.Random(11)
+    edges, roots = [], []
+    for g in range(8):
+        name = lambda i, g=g: ("mnf"[i % 3], 100 * g + i)
+        roots += [(f"r{g % 5}", *name(0), ALL), (f"r{g % 5}", *name(3), 7)]
+        edges += [(*name(rng.randrange(7)), *name(rng.randrange(7)), rng.randint(5, 9) * 10, rng.choice([0, 1, 2, 4, ALL & ~8])) for _ in range(16)]
+    # A state at the end of the way 900, 903, 904 carries two kinds, of which each arrives sooner by a way of its own.
+    roots.append(("r9", "m", 900, 3))
+    edges += [("m", 900, "m", 901, 90, 1), ("m", 900, "m", 901, 90, 2), ("m", 900, "n", 903, 90, 0), ("n", 903, "m", 901, 90, 0), ("m", 901, "f", 902, 90, 0)]
+    df = spark.createDataFrame(edges, "src_kind string, src long, dst_kind string, dst long, conf int, clears int")
+    sources = spark.createDataFrame(roots, "root string, kind string, key long, mask int")
+    states = taint_walk(df, sources, trace=True, winners=True)
+    kept = {tuple(r) for r in states.drop("prev").collect()}
+    assert kept < {tuple(r) for r in taint_walk(df, sources, trace=True).drop("prev").collect()}
+    assert {r[3:] for r in kept if r[2] == 901} == {(1, 90, 1), (2, 90, 1)}
+    got = {}
+    for r in rebuilt(states, states).collect():
+        way = [(-s["conf"], s["kind"], s["key"], -s["mask"]) for s in reversed(r["steps"])]
+        assert len(way) == r["depth"] + 1 and way[0] == (-r["conf"], r["kind"], r["key"], -r["mask"])
+        for bit in range(12):
+            if r["mask"] >> bit & 1:
+                got.setdefault((r["root"], r["key"], bit), []).append((-r["conf"], r["depth"], way))
+    every, walks = {}, {(root, kind, key, mask, 100): [(-100, kind, key, -mask)] for root, kind, key, mask in roots}
+    for depth in range(9):
+        longer = {}
+        for (root, kind, key, mask, conf), way in walks.items():
+            for bit in range(12):
+                if mask >> bit & 1:
+                    every.setdefault((root, key, bit), []).append((-conf, depth, way))
+            for sk, s, dk, d, c, clears in edges:
+                if (sk, s) == (kind, key) and mask & ~clears:
+                    to = (root, dk, d, mask & ~clears, min(conf, c))
+                    on = [(-to[4], dk, d, -to[3]), *way]
+                    longer[to] = min(longer.get(to, on), on)
+        walks = longer
+    assert {k: min(v) for k, v in got.items()} == {k: min(v) for k, v in every.items()}
