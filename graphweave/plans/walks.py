@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphweave.functions.masks import ALL, mask
 from graphweave.operators import graphs
-from graphweave.operators.evidence import assemble, bare_ignores, path_text, ranked_paths
+from graphweave.operators.evidence import assemble, bare_ignores, path_text, ranked_paths, without_baseline
 from graphweave.operators.incremental import scan
 from graphweave.operators.scratch import shared_folder, written
 from graphweave.operators.store import Store
@@ -124,16 +124,15 @@ def taint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(role.alias("role"), F.when(i == n - 1, F.col("file")).otherwise(s["kind"]).alias("file"), s["key"].alias("line"), F.concat_ws(":", s["kind"], s["key"].cast("string")).alias("snippet"),
                         F.when(i == 0, F.col("entry")).alias("entry"), s["conf"].alias("confidence"))
 
-    ranked = written(ranked_paths(rows.select("rule", F.transform("steps", step).alias("steps"))), "ranked")
+    ranked = ranked_paths(rows.select("rule", "file", F.col("sink").alias("line"), F.transform("steps", step).alias("steps")))
     rules = spark.createDataFrame(_RANKS, "rule string, kind string, rank int")
     marks = parts.where("p_size = 13").crossJoin(F.broadcast(rules.select("rule"))).select(F.concat(F.lit("app/"), "p_name").alias("file"), "rule", F.col("sink").alias("line"))
     globs = spark.createDataFrame(_GLOBS, "rule string, pattern string, expires string").withColumn("expires", F.col("expires").cast("date"))
-    args = {"unsure_under": 70, "globs": globs, "as_of": F.lit(_DAY).cast("date")}
-    # The scan before stored what is now the baseline.
+    # The scan before, whose paths are the same, stored what is now the baseline.
     store = Store(spark, f"{shared_folder(spark)}/graphweave-store-{uuid.uuid4().hex}")
-    before = assemble(ranked, rules, marks, spark.createDataFrame([], "fingerprint string"), **args)
+    before = written(assemble(ranked, rules, marks, None, unsure_under=70, globs=globs, as_of=F.lit(_DAY).cast("date")), "findings")
     store.commit(baseline=before.join(parts.select(F.col("sink").alias("line"), "p_size"), "line").where("p_size % 9 = 0").select("fingerprint"))
-    now = assemble(ranked, rules, marks, store.read("baseline"), **args)
+    now = without_baseline(before, store.read("baseline"))
     bare = bare_ignores(parts.where("p_size = 17").select(F.concat(F.lit("app/"), "p_name").alias("file"), F.col("sink").alias("line"), F.concat(F.lit("ignore "), "p_brand").alias("snippet")), _BARE, 1)
     columns = ["id", "fingerprint", "rule", "file", "line", "severity", "needs_review", "confidence", "alternatives", path_text(F.col("steps")).alias("path")]
     return now.select(*columns).unionByName(bare.select(*columns)).orderBy("file", "line", "rule")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphweave.functions.patterns import glob_column, glob_pattern
-from graphweave.operators.evidence import assemble, bare_ignores, ranked_paths
+from graphweave.operators.evidence import assemble, bare_ignores, ranked_paths, without_baseline
+from graphweave.plans import walks
 
 STEPS = "rule string, steps array<struct<role:string,file:string,line:long,snippet:string,entry:string,confidence:int>>"
 
@@ -58,3 +59,29 @@ def test_glob_columns_equal_glob_patterns(spark, glob):
     texts = ["app/x.php", "app/y/z.php", "abc", "ac", "[x]+(y)|{z}^$.", "é-ü", "a\\b", "a b#c", "", "app/\n.php"]
     got = spark.createDataFrame([(t, glob) for t in texts], "t string, g string").where(F.rlike("t", glob_column(F.col("g")))).collect()
     assert [r["t"] for r in got] == [t for t in texts if re.match(glob_pattern(glob), t)]
+
+
+def test_sinks_beside_the_steps_and_no_baseline(spark):
+    """Paths that have their sink's file and line beside their steps make the same findings, and a baseline may come later."""
+    rows = path("sql", "a", 1, "http", "console") + path("sql", "a", 2, "http") + path("sql", None, 5, "console", conf=60) + path("shape", "vendor/b", 1, "http") + [("sql", []), ("sql", None)]
+    rules = spark.createDataFrame([("sql", "taint", 3), ("shape", "structural", 3)], "rule string, kind string, rank int")
+    marks, paths = spark.createDataFrame([], "file string, rule string, line long"), spark.createDataFrame(rows, STEPS)
+    last = F.element_at("steps", -1)
+    beside = paths.where(F.size("steps") > 0).select("rule", last["file"].alias("file"), last["line"].alias("line"), "steps")
+    every = assemble(ranked_paths(beside), rules, marks, None)
+    some = every.where("line = 2").select("fingerprint")
+    shown = lambda df: sorted(str(r) for r in df.select(*sorted(df.columns)).collect())
+    assert shown(every) == shown(assemble(ranked_paths(paths), rules, marks, some.limit(0)))
+    assert shown(without_baseline(every, some)) == shown(assemble(ranked_paths(paths), rules, marks, some)) != []
+
+
+def test_taint_findings_are_assembled_once(spark, monkeypatch):
+    """The scan before, whose findings are the baseline, and the scan now have the same paths."""
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_type <> 'LARGE' AND p_size <> 13").orderBy("p_partkey").collect()
+    old, new = (next(p["p_partkey"] for p in parts if (p["p_size"] % 9 == 0) == known and not p["p_name"].startswith(("b", "r"))) for known in (True, False))
+    made = [("ASIA", "log", sink, 90, 1, [("region", 2, 4095, 100), ("part", sink, 4095, 90)]) for sink in (old, new)]
+    calls = []
+    monkeypatch.setattr(walks, "_winners", lambda *_: spark.createDataFrame(made, "root string, rule string, sink long, conf int, depth int, steps array<struct<kind:string,key:long,mask:int,conf:int>>"))
+    monkeypatch.setattr(walks, "assemble", lambda *a, **kw: calls.append(a) or assemble(*a, **kw))
+    found = walks.taint_findings(spark, "/root/testdata/sf0.001").where("rule = 'log'").collect()
+    assert [r["line"] for r in found] == [new] and len(calls) == 1
